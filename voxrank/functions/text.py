@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -134,6 +134,15 @@ def without(tokens: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stops)) if stops else tokens
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once.
+
+    A lambda re-evaluates whatever expression it mentions for every element;
+    binding the value to a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _joined_neighbours(left: Column, right: Column, offset: int, separator: str) -> Column:
     pairs = F.greatest(F.size(right) - offset, F.lit(0))
     return F.zip_with(
@@ -145,14 +154,16 @@ def _joined_neighbours(left: Column, right: Column, offset: int, separator: str)
 
 def with_word_pairs(tokens: Column) -> Column:
     """Single words followed by every pair of neighbouring words."""
-    return F.concat(tokens, _joined_neighbours(tokens, tokens, 1, " "))
+    return bind(tokens, lambda t: F.concat(t, _joined_neighbours(t, t, 1, " ")))
 
 
 def character_runs(text: Column) -> Column:
     """Every run of one to three characters, white-space runs shortened first."""
-    chars = F.regexp_extract_all(F.regexp_replace(F.lower(text), SPACE + SPACE + "+", " "), F.lit("(?s)(.)"), F.lit(0))
-    pairs = _joined_neighbours(chars, chars, 1, "")
-    return F.concat(chars, pairs, _joined_neighbours(pairs, chars, 2, ""))
+    flat = F.regexp_replace(F.lower(text), SPACE + SPACE + "+", " ")
+    single = F.regexp_extract_all(flat, F.lit("(?s)(.)"), F.lit(0))
+    return bind(single, lambda c: bind(
+        _joined_neighbours(c, c, 1, ""), lambda p: F.concat(c, p, _joined_neighbours(p, c, 2, ""))
+    ))
 
 
 def term_counts(tokens: Column) -> Column:
@@ -161,15 +172,16 @@ def term_counts(tokens: Column) -> Column:
     Keeps the counting inside the row, so no shuffle is needed to find how
     often a term occurs in its own text.
     """
-    ordered = F.array_sort(tokens)
-    size = F.size(ordered)
-    starts = F.filter(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size))
-    runs = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf")))
-    return F.when(size > 0, runs).otherwise(F.filter(F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf"))), lambda x: F.lit(False)))
+    def runs(ordered: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf")))
+
+    def counted(ordered: Column) -> Column:
+        positions = F.filter(F.sequence(F.lit(0), F.size(ordered)), lambda i: i < F.size(ordered))
+        first = F.filter(positions, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return bind(first, lambda starts: runs(ordered, starts))
+
+    return bind(F.array_sort(tokens), lambda t: F.when(F.size(t) > 0, counted(t)))
 
 
 def occurrences(text: Column, term: str) -> Column:

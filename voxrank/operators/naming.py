@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
+from voxrank.session import materialise
 
 
 def lexicon_names(
@@ -52,27 +53,26 @@ def check_proposed_labels(proposals: DataFrame, topics: DataFrame) -> DataFrame:
     accepted as a whole: exactly the known topics without the outlier group,
     and only short, single-line, non-blank texts.
     """
-    parsed = F.try_parse_json("content")
-    fields = F.try_variant_get(parsed, "$", "map<string,variant>")
+    def usable(label: Column) -> Column:
+        return F.coalesce(
+            (tx.collapse_spaces(label) != "") & (F.length(label) <= fixed.LABEL_LIMIT) & ~F.contains(label, F.lit("\n")),
+            F.lit(False),
+        )
+
+    fields = F.try_variant_get(F.try_parse_json("content"), "$", "map<string,variant>")
+    text = F.transform_values(
+        F.col("fields"), lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    )
     nameable = topics.where(F.col("topic_id") != fixed.OUTLIER_TOPIC).select(F.col("topic_id").cast("string").alias("id"))
     expected = nameable.agg(F.sort_array(F.collect_set("id")).alias("ids")).scalar()
-    listed = proposals.select("proposal_id", fields.alias("fields"))
-    texts = F.transform(
-        F.map_values("fields"),
-        lambda v: (F.schema_of_variant(v) == "STRING")
-        & (F.trim(tx.collapse_spaces(F.try_variant_get(v, "$", "string"))) != "")
-        & (F.length(F.try_variant_get(v, "$", "string")) <= fixed.LABEL_LIMIT)
-        & ~F.contains(F.try_variant_get(v, "$", "string"), F.lit("\n")),
-    )
-    accepted = F.coalesce(
-        (F.sort_array(F.map_keys("fields")) == expected) & F.forall(texts, lambda ok: F.coalesce(ok, F.lit(False))),
-        F.lit(False),
-    )
-    checked = listed.withColumn("accepted", accepted)
-    chosen = F.when(F.col("accepted"), F.try_variant_get(F.element_at("fields", F.col("topic_id").cast("string")), "$", "string"))
-    # every proposal is answered for every topic; topics are one row per group
-    answered = checked.withColumn("topic", F.explode(topics.agg(
-        F.collect_list(F.struct("topic_id", "label")).alias("all")).scalar()))
-    return answered.select("proposal_id", "fields", "accepted", "topic.topic_id", F.col("topic.label").alias("old")).select(
-        "proposal_id", "topic_id", F.coalesce(chosen, "old").alias("label"), "accepted"
+    texts = materialise(proposals.select("proposal_id", fields.alias("fields")).select("proposal_id", text.alias("texts")), "proposals")
+    checked = texts.withColumn("accepted", F.coalesce(
+        (F.sort_array(F.map_keys("texts")) == expected) & F.forall(F.map_values("texts"), usable), F.lit(False)
+    ))
+    # the answer holds every topic for every proposal; the topic list is one row per topic
+    listed = topics.agg(F.collect_list(F.struct("topic_id", "label")).alias("all")).scalar()
+    answered = checked.select("proposal_id", "texts", "accepted", F.explode(listed).alias("topic"))
+    offered = F.when(F.col("accepted"), F.element_at("texts", F.col("topic.topic_id").cast("string")))
+    return answered.select(
+        "proposal_id", "topic.topic_id", F.coalesce(offered, F.col("topic.label")).alias("label"), "accepted"
     )

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
-from voxrank.functions.text import SPACE, makes_forbidden_claim
+from voxrank.functions.text import SPACE, bind, makes_forbidden_claim
 from voxrank.operators.brief import evidence_sentence
+from voxrank.session import materialise
 
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -18,10 +19,12 @@ def _strip(text: Column) -> Column:
 
 def without_code_fence(content: Column) -> Column:
     """Drop the first and last line of a fenced block."""
-    bare = _strip(content)
-    lines = F.split(bare, _LINE_END)
-    inner = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n")
-    return F.when(F.startswith(bare, F.lit("```")), _strip(inner)).otherwise(bare)
+    def inner(lines: Column) -> Column:
+        return _strip(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+
+    return bind(_strip(content), lambda bare: F.when(
+        F.startswith(bare, F.lit("```")), bind(F.split(bare, _LINE_END), inner)
+    ).otherwise(bare))
 
 
 def strict_json(text: Column) -> Column:
@@ -30,9 +33,12 @@ def strict_json(text: Column) -> Column:
     The parser stops after the first value; wrapping it both as an array and as
     an object leaves no text that could follow it unnoticed.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+    def parsed(t: Column) -> Column:
+        in_array = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        return F.when(in_array.isNotNull(), F.try_variant_get(in_object, "$.v", "variant"))
+
+    return bind(text, parsed)
 
 
 def _fields(value: Column) -> Column:
@@ -45,75 +51,84 @@ def _kind(value: Column) -> Column:
 
 def _text(value: Column) -> Column:
     """The value if it is a JSON string, else null."""
-    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return bind(value, lambda v: F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
-def _has_exactly(fields: Column, names: list[str]) -> Column:
-    return F.coalesce(
-        F.sort_array(F.map_keys(fields)) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False)
-    )
+def _list(value: Column) -> Column:
+    """The elements if the value is a JSON array, else null."""
+    return bind(value, lambda v: F.when(F.startswith(_kind(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>")))
 
 
-def _bounded_prose(text: Column, limits: tuple[int, int]) -> Column:
-    return F.coalesce(F.length(text).between(*limits) & ~makes_forbidden_claim(text), F.lit(False))
+def _whole_number(value: Column) -> Column:
+    """A JSON whole number (or boolean, which compares as 0 or 1), else null."""
+    def whole(v: Column) -> Column:
+        number = F.try_variant_get(v, "$", "double")
+        return F.when(_kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)") & (number == F.floor(number)), number.cast("long"))
 
+    return bind(value, whole)
 
-def _topic_number(value: Column) -> Column:
-    """A JSON whole number (or boolean, which compares as 0 or 1), else null."""
-    kind = _kind(value)
-    number = F.try_variant_get(value, "$", "double")
-    whole = F.when(number == F.floor(number), number.cast("long"))
-    return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN)"), whole)
+
+def _item(value: Column) -> Column:
+    """One recommendation as typed fields; what has another type is null."""
+    def typed(f: Column) -> Column:
+        def field(name: str) -> Column:
+            return F.element_at(f, F.lit(name))
+
+        return F.struct(
+            F.map_keys(f).alias("keys"), _text(field("category")).alias("category"),
+            _whole_number(field("topic_id")).alias("topic_id"),
+            *[_text(field(name)).alias(name) for name in fixed.PROSE_FIELDS],
+            F.transform(_list(field("evidence_review_ids")), _text).alias("review_ids"),
+        )
+
+    return bind(_fields(value), typed)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """(response_id, parsed, fields, summary, items) of each JSON content."""
-    parsed = responses.select("response_id", strict_json(without_code_fence(F.col("content"))).alias("parsed"))
-    fielded = parsed.withColumn("fields", _fields(F.col("parsed")))
-    listed = F.element_at("fields", F.lit("recommendations"))
-    return fielded.select(
-        "response_id", "parsed", "fields",
-        _text(F.element_at("fields", F.lit("executive_synthesis"))).alias("summary"),
-        F.when(F.startswith(_kind(listed), F.lit("ARRAY")), F.try_variant_get(listed, "$", "array<variant>")).alias("items"),
-    )
+    """(response_id, missing, valid, keys, summary, items), written once.
+
+    Everything a check needs is typed here in one pass over the contents; the
+    checks then read a plain table and never parse again.
+    """
+    parsed = responses.select(
+        "response_id", F.col("content").isNull().alias("missing"),
+        strict_json(without_code_fence(F.col("content"))).alias("parsed"),
+    ).withColumn("fields", _fields(F.col("parsed")))
+
+    def field(name: str) -> Column:
+        return F.element_at("fields", F.lit(name))
+
+    return materialise(parsed.select(
+        "response_id", "missing", F.col("parsed").isNotNull().alias("valid"), F.map_keys("fields").alias("keys"),
+        _text(field("executive_synthesis")).alias("summary"),
+        F.transform(_list(field("recommendations")), _item).alias("items"),
+    ), "responses")
+
+
+def _has_exactly(keys: str, names: list[str]) -> Column:
+    return F.coalesce(F.sort_array(F.col(keys)) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+
+
+def _bounded_prose(name: str, limits: tuple[int, int]) -> Column:
+    return F.coalesce(F.length(name).between(*limits) & ~makes_forbidden_claim(F.col(name)), F.lit(False))
 
 
 def _envelope_reason() -> Column:
     """First fault outside the single recommendations."""
     reasons = fixed.RESPONSE_REASONS
     return (
-        F.when(F.col("parsed").isNull(), reasons["json"])
-        .when(~_has_exactly(F.col("fields"), fixed.RESPONSE_FIELDS), reasons["fields"])
-        .when(~_bounded_prose(F.col("summary"), fixed.SUMMARY_LENGTH), reasons["summary"])
+        F.when(~F.col("valid"), reasons["json"])
+        .when(~_has_exactly("keys", fixed.RESPONSE_FIELDS), reasons["fields"])
+        .when(~_bounded_prose("summary", fixed.SUMMARY_LENGTH), reasons["summary"])
         .when(F.coalesce(F.size("items"), F.lit(-1)) != fixed.RECOMMENDATION_COUNT, reasons["count"])
     )
 
 
-def _recommendations(parsed: DataFrame) -> DataFrame:
-    """One typed row per recommendation of the responses that hold three."""
-    sound = parsed.where(_envelope_reason().isNull())
-    items = sound.select("response_id", F.posexplode("items").alias("position", "item")).withColumn("f", _fields(F.col("item")))
-
-    def field(name: str) -> Column:
-        return F.element_at("f", F.lit(name))
-
-    ids = field("evidence_review_ids")
-    listed = F.when(F.startswith(_kind(ids), F.lit("ARRAY")), F.try_variant_get(ids, "$", "array<variant>"))
-    return items.select(
-        "response_id", "position",
-        _has_exactly(F.col("f"), fixed.RECOMMENDATION_FIELDS).alias("well_formed"),
-        _text(field("category")).alias("category"),
-        _topic_number(field("topic_id")).alias("topic_id"),
-        *[_text(field(name)).alias(name) for name in fixed.PROSE_FIELDS],
-        F.transform(listed, _text).alias("review_ids"),
-    )
-
-
 def _item_reason() -> Column:
     """First fault of one recommendation, given its topic's allowed ids and the
     categories of all three in order."""
     reasons = fixed.RESPONSE_REASONS
-    earlier = F.slice("categories", F.lit(1), F.col("position"))
+    earlier = F.slice("categories", F.lit(1), F.col("position"))  # positions count from 0
     known = F.coalesce(F.col("category").isin(fixed.BRIEF_CATEGORIES), F.lit(False)) & F.col("allowed").isNotNull()
     repeated = F.coalesce(F.array_contains(earlier, F.col("category")), F.lit(False))
     cites = F.col("review_ids")
@@ -123,66 +138,60 @@ def _item_reason() -> Column:
         & (F.size(F.array_except(cites, F.col("allowed"))) == 0),
         F.lit(False),
     )
-    reason = F.when(~F.col("well_formed"), reasons["item"]).when(~known | repeated, reasons["reference"])
+    reason = F.when(~_has_exactly("keys", fixed.RECOMMENDATION_FIELDS), reasons["item"]).when(~known | repeated, reasons["reference"])
     for name in fixed.PROSE_FIELDS:
-        reason = reason.when(~_bounded_prose(F.col(name), fixed.PROSE_LENGTH), reasons["claim"] + name)
+        reason = reason.when(~_bounded_prose(name, fixed.PROSE_LENGTH), reasons["claim"] + name)
     return reason.when(~grounded, reasons["citations"])
 
 
 def checked_recommendations(parsed: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every recommendation with its first fault, or null.
+    """Every recommendation of the responses that hold three, with its first fault or null.
 
-    ``pool`` is (topic_id, review_ids), one row per topic. Three rows at most
-    share a response, so collecting their categories is bounded.
+    ``pool`` is (topic_id, review_ids), one row per topic.
     """
-    rows = _recommendations(parsed)
-    allowed = pool.select("topic_id", F.col("review_ids").alias("allowed"))
-    categories = rows.groupBy("response_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("position", F.coalesce("category", F.lit("")).alias("c")))), lambda x: x["c"]
-        ).alias("categories")
+    sound = parsed.where(_envelope_reason().isNull()).select(
+        "response_id", F.transform("items", lambda i: i["category"]).alias("categories"),
+        F.posexplode("items").alias("position", "item"),
     )
-    return rows.join(allowed, "topic_id", "left").join(categories, "response_id").withColumn("reason", _item_reason())
+    rows = sound.select("response_id", "position", "categories", "item.*")
+    allowed = pool.select("topic_id", F.col("review_ids").alias("allowed"))
+    return rows.join(allowed, "topic_id", "left").withColumn("reason", _item_reason())
 
 
-def validate_responses(responses: DataFrame, pool: DataFrame) -> DataFrame:
+def validate_responses(parsed: DataFrame, pool: DataFrame) -> DataFrame:
     """(response_id, accepted, reason): the first fault found, in reading order."""
-    parsed = parse_responses(responses)
     inside = checked_recommendations(parsed, pool).where("reason is not null").groupBy("response_id").agg(
         F.min_by("reason", "position").alias("inner_reason")
     )
-    joined = parsed.withColumn("outer_reason", _envelope_reason()).select("response_id", "outer_reason").join(
-        inside, "response_id", "left"
-    )
+    outside = parsed.select("response_id", _envelope_reason().alias("outer_reason"))
     reason = F.coalesce("outer_reason", "inner_reason")
-    return joined.select("response_id", reason.isNull().alias("accepted"), reason.alias("reason"))
+    return outside.join(inside, "response_id", "left").select(
+        "response_id", reason.isNull().alias("accepted"), reason.alias("reason")
+    )
 
 
-def accepted_insights(responses: DataFrame, pool: DataFrame, scores: DataFrame) -> DataFrame:
+def accepted_insights(parsed: DataFrame, pool: DataFrame, scores: DataFrame) -> DataFrame:
     """The recommendations of accepted responses with measured evidence added."""
-    parsed = parse_responses(responses)
-    checked = checked_recommendations(parsed, pool)
-    good = validate_responses(responses, pool).where("accepted").select("response_id")
+    good = validate_responses(parsed, pool).where("accepted").select("response_id")
     topics = scores.agg(F.count("*").alias("n")).scalar()
-    return checked.join(good, "response_id").join(scores, "topic_id").select(
-        "response_id", F.format_string("L%d", F.col("position") + 1).alias("insight_id"), "category", "topic_id", "topic",
+    return checked_recommendations(parsed, pool).join(good, "response_id").join(scores, "topic_id").select(
+        "response_id", F.format_string("L%d", F.col("position") + 1).alias("insight_id"), "category",
+        F.col("topic_id").cast("int").alias("topic_id"), "topic",
         F.col("impact_rank").alias("rank"), "finding", evidence_sentence(topics).alias("evidence"),
         F.col("business_implication").alias("implication"), F.col("recommended_action").alias("action"), "review_ids",
     )
 
 
-def choose_brief(responses: DataFrame, pool: DataFrame, summary: DataFrame) -> DataFrame:
+def choose_brief(parsed: DataFrame, pool: DataFrame, summary: DataFrame) -> DataFrame:
     """(response_id, summary, method, warning): the response's own, or the fallback."""
-    checks = validate_responses(responses, pool)
-    written = parse_responses(responses).select("response_id", F.col("summary").alias("written"))
-    missing = responses.select("response_id", F.col("content").isNull().alias("missing"))
+    checks = validate_responses(parsed, pool)
     kind = F.when(F.col("reason") == fixed.RESPONSE_REASONS["json"], "JSONDecodeError").otherwise("ValueError")
     before, after = fixed.FAILED_RESPONSE_WARNING.split("{}")
     warning = (
         F.when(F.col("missing"), fixed.NO_RESPONSE_WARNING)
         .when(~F.col("accepted"), F.concat(F.lit(before), kind, F.lit(after)))
     )
-    return checks.join(written, "response_id").join(missing, "response_id").select(
+    return checks.join(parsed.select("response_id", "missing", F.col("summary").alias("written")), "response_id").select(
         "response_id",
         F.when(F.col("accepted"), F.col("written")).otherwise(summary.select("summary").scalar()).alias("summary"),
         F.when(F.col("accepted"), fixed.MODEL_BRIEF_METHOD).otherwise(summary.select("method").scalar()).alias("method"),

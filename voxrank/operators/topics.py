@@ -36,7 +36,7 @@ def cluster_count(rows: int, distinct_texts: int) -> int:
 def unit_length(embedding: str) -> Column:
     vector = F.col(embedding).cast("array<double>")
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(vector, lambda x: x / length)).otherwise(vector)
+    return tx.bind(length, lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector))
 
 
 def embed(reviews: DataFrame, load_model: Callable[[], Callable], text: str = "topic_text", batch_rows: int = 32) -> DataFrame:

@@ -16,6 +16,7 @@ def build_session(app_name: str = "voxrank", cores: int | str = "*", **settings:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.openCostInBytes", "262144")  # small test files still use every core
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

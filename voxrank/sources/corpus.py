@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +43,7 @@ def untidy_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(doc % 29 == 0, F.lit(None))
         .when(doc % 31 == 0, F.lit("   "))
         .when(doc % 37 == 0, F.concat(F.lit("#"), doc.cast("string"), F.lit(" 100%!")))
-        .when(doc % 7 == 0, F.concat(F.lit("  "), F.upper("text"), F.lit("  ")))
+        .when(doc % 7 == 0, F.concat(F.lit("  "), F.translate("text", _LOWER, _LOWER.upper()), F.lit("  ")))
         .otherwise(F.col("text"))
     )
     stars = (
