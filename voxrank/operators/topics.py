@@ -53,6 +53,8 @@ def kmeans(
     The vectors are held once for all runs; they come from a stored table, so a
     lost executor re-reads its share.
     """
+    if k == 1:
+        return vectors.select("row_no", F.lit(0).alias("topic_id"))
     held = vectors.select("row_no", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         best = None
