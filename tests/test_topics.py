@@ -51,11 +51,11 @@ def test_weights_keywords_and_representatives(spark):
     for i, weights in enumerate(expected):
         for t, w in weights.items():
             sums[i % 3][t] += w
-    for row in lexical.topic_keywords(features, frame).collect():
+    for row in lexical.topic_keywords(features).collect():
         best = sorted(sums[row.topic_id], key=lambda t: (-round(sums[row.topic_id][t], 9), t))[:8]
         assert row.keywords == best
         assert row.label == " / ".join(t.title() for t in best[:3])
-    for row in lexical.lexical_representatives(features, frame).collect():
+    for row in lexical.lexical_representatives(features).collect():
         centre = sums[row.topic_id]
         length = math.sqrt(sum(v * v for v in centre.values()))
         assert row.similarity == pytest.approx(sum(v * centre[t] for t, v in expected[row.row_no].items()) / length)

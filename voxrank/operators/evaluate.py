@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
-from voxrank.operators.skew import join_one_to_one
+from voxrank.operators.skew import counted_broadcast, join_one_to_one
+from voxrank.session import materialise
 
 
 def parsed_flag(text: Column) -> Column:
@@ -32,7 +33,9 @@ def coverage(reviews: DataFrame) -> DataFrame:
 def citation_checks(insights: DataFrame, reviews: DataFrame) -> DataFrame:
     """(insight_id, grounded): cited ids exist, share the topic, and are not none."""
     cited = insights.select("insight_id", F.col("topic_id").alias("claimed"), F.explode_outer("review_ids").alias("review_id"))
-    found = cited.join(reviews.select("review_id", "topic_id"), "review_id", "left")
+    ids = materialise(cited.select("review_id").where("review_id is not null").distinct(), "cited_ids")
+    known = reviews.select("review_id", "topic_id").join(counted_broadcast(ids), "review_id")
+    found = cited.join(known, "review_id", "left")
     return found.groupBy("insight_id").agg(
         F.bool_and(F.coalesce(F.col("topic_id") == F.col("claimed"), F.lit(False))).alias("grounded")
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
 from voxrank.functions.numbers import round_exact
+from voxrank.operators.skew import counted_broadcast
+from voxrank.session import materialise
 
 
 def supporting_rows(reviews: DataFrame, size: int = fixed.BRIEF_ROWS_PER_KIND) -> DataFrame:
@@ -47,13 +49,15 @@ def evidence_pool(ids: DataFrame, size: int = fixed.EVIDENCE_POOL_SIZE, per_kind
 def cited_reviews(cites: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     """(key, position, review_id, ...) for id lists; an unknown id fails the job.
 
-    ``reviews`` may be the full table: the few cited ids are the small side.
+    ``reviews`` may be the full table: it is scanned once past the broadcast
+    ids, never shuffled. What is missing is then found among the few matches.
     """
-    wanted = cites.select(key, F.posexplode("review_ids").alias("position", "review_id"))
+    wanted = materialise(cites.select(key, F.posexplode("review_ids").alias("position", "review_id")), "cited")
     known = reviews.select("review_id", "review_text", "source", "sentiment_label", F.lit(True).alias("_known"))
+    found = known.join(counted_broadcast(wanted.select("review_id").distinct()), "review_id")
     unknown = F.raise_error(F.concat(F.lit("Cited review not found: "), F.col("review_id"))).cast("boolean")
     return (
-        wanted.join(known, "review_id", "left")
+        wanted.join(found, "review_id", "left")
         .where(F.when(F.col("_known"), F.lit(True)).otherwise(unknown))
         .drop("_known")
     )

@@ -18,6 +18,7 @@ from voxrank.operators.skew import join_by_frequency
 from voxrank.session import materialise, store
 
 # How a stored ML vector reads as plain columns.
+_MEANS_BYTES = 64 * 1024 * 1024  # most topic means ever broadcast at once
 _STORED_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
@@ -61,7 +62,8 @@ class LexicalFeatures:
     """Stored TF-IDF vectors with unit length and the vocabulary behind them.
 
     ``vectors`` has (row_no, features) for Spark ML; ``sparse`` shows the same
-    file as (row_no, indices, values). ``terms`` is the vocabulary in index order.
+    file as (row_no, indices, values). Both carry topic_id once it is known.
+    ``terms`` is the vocabulary in index order.
     """
 
     vectors: DataFrame
@@ -69,6 +71,11 @@ class LexicalFeatures:
     terms: list[str]
     method: str
 
+    def with_topics(self, assigned: DataFrame) -> LexicalFeatures:
+        """The same vectors stored beside their topic: one join for all later passes."""
+        placed = assigned.select("row_no", "topic_id").join(self.vectors.select("row_no", "features"), "row_no")
+        return _stored(placed, self.terms, self.method)
+
     def entries(self) -> DataFrame:
         """One row per stored weight: (row_no, term, weight)."""
         spark = self.sparse.sparkSession
@@ -78,18 +85,23 @@ class LexicalFeatures:
         return cells.join(F.broadcast(names), "index").select("row_no", "term", "weight")
 
 
+def _stored(vectors: DataFrame, terms: list[str], method: str) -> LexicalFeatures:
+    path = store(vectors, "tfidf")
+    reader = vectors.sparkSession.read
+    plain = ", ".join(f"{n} {k}" for n, k in vectors.dtypes if n != "features")
+    sparse = reader.schema(f"{plain}, features {_STORED_VECTOR}").parquet(path).select(
+        *[n for n in vectors.columns if n != "features"],
+        F.col("features.indices").alias("indices"), F.col("features.values").alias("values"),
+    )
+    return LexicalFeatures(reader.schema(vectors.schema).parquet(path), sparse, terms, method)
+
+
 def _vectorise(docs: DataFrame, vocab: list, method: str) -> LexicalFeatures:
     terms = [r.term for r in vocab]
     counted = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts").transform(docs)
     weigh = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="counts", outputCol="weighted")
     unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    weighted = unit.transform(weigh.transform(counted)).select("row_no", "features")
-    path = store(weighted, "tfidf")
-    reader = docs.sparkSession.read
-    vectors = reader.schema(weighted.schema).parquet(path)
-    stored = reader.schema(f"row_no long, features {_STORED_VECTOR}").parquet(path)
-    sparse = stored.select("row_no", F.col("features.indices").alias("indices"), F.col("features.values").alias("values"))
-    return LexicalFeatures(vectors, sparse, terms, method)
+    return _stored(unit.transform(weigh.transform(counted)).drop("terms", "counts", "weighted"), terms, method)
 
 
 def lexical_features(
@@ -100,47 +112,46 @@ def lexical_features(
 
     Only the vocabulary, at most ``max_words`` rows, reaches the driver. Each
     text then becomes a vector inside its own row, so the table of weights is
-    never shuffled, and it is stored once for every later pass.
+    never shuffled, and it is stored once for every later pass. A topic_id
+    column of ``docs`` is stored along.
     """
+    carried = ["row_no", *[c for c in docs.columns if c == "topic_id"]]
     stops = english_stop_words() if stop_words is None else stop_words
-    worded = docs.select("row_no", word_terms(F.col(text), stops).alias("terms"))
+    worded = docs.select(*carried, word_terms(F.col(text), stops).alias("terms"))
     vocab = vocabulary(worded, max_words).orderBy("term").collect()
     if vocab:
         return _vectorise(worded, vocab, "words")
-    lettered = docs.select("row_no", tx.character_runs(F.col(text)).alias("terms"))
+    lettered = docs.select(*carried, tx.character_runs(F.col(text)).alias("terms"))
     return _vectorise(lettered, vocabulary(lettered, max_characters).orderBy("term").collect(), "characters")
 
 
-def topic_keywords(
-    features: LexicalFeatures, assigned: DataFrame, size: int = fixed.KEYWORDS_PER_TOPIC
-) -> DataFrame:
+def topic_keywords(features: LexicalFeatures, size: int = fixed.KEYWORDS_PER_TOPIC) -> DataFrame:
     """(topic_id, keywords, label): terms of highest mean weight.
 
-    ``assigned`` is (row_no, topic_id). Sums are formed before the shuffle; what
-    remains is at most topics x vocabulary rows.
+    Sums are formed before the shuffle; what remains is at most topics x
+    vocabulary rows.
     """
-    spark = assigned.sparkSession
+    spark = features.sparse.sparkSession
     names = spark.createDataFrame(list(enumerate(features.terms)), "index int, term string")
-    rows = assigned.select("row_no", "topic_id").join(features.sparse, "row_no")
     sums = (
-        rows.select("topic_id", F.inline(F.arrays_zip("indices", "values"))).toDF("topic_id", "index", "weight")
+        features.sparse.select("topic_id", F.inline(F.arrays_zip("indices", "values"))).toDF("topic_id", "index", "weight")
         .groupBy("topic_id", "index").agg(F.sum("weight").alias("weight"))
         .where("weight > 0")
         .join(F.broadcast(names), "index")  # at most max_features names
     )
-    return _top_terms(sums, assigned, size)
+    return _top_terms(sums, features.sparse.select("topic_id").distinct(), size)
 
 
-def _top_terms(sums: DataFrame, assigned: DataFrame, size: int) -> DataFrame:
+def _top_terms(sums: DataFrame, topics: DataFrame, size: int) -> DataFrame:
     best = Window.partitionBy("topic_id").orderBy(F.desc(F.round("weight", 9)), "term")
     top = sums.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= size)
     keywords = top.groupBy("topic_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_rank", "term"))), lambda x: x["term"]).alias("keywords")
     )
-    topics = assigned.select("topic_id").distinct().join(keywords, "topic_id", "left")
+    described = topics.join(keywords, "topic_id", "left")
     words = F.coalesce("keywords", F.array().cast("array<string>"))
     label = F.array_join(F.transform(F.slice(words, 1, fixed.LABEL_WORDS), tx.title_case), " / ")
-    return topics.select(
+    return described.select(
         "topic_id", words.alias("keywords"),
         F.when(F.col("topic_id") == fixed.OUTLIER_TOPIC, fixed.OUTLIER_LABEL).otherwise(label).alias("label"),
     )
@@ -156,23 +167,33 @@ def _nearest(scored: DataFrame, size: int) -> DataFrame:
     return top.select("topic_id", "row_no", F.col("_rank").alias("position"), "similarity")
 
 
+def _topic_means(vectors: DataFrame, features: str) -> DataFrame:
+    """(topic_id, mean, length, n), written: one dense array per topic."""
+    means = vectors.groupBy("topic_id").agg(
+        vector_to_array(Summarizer.mean(F.col(features))).alias("mean"), F.count("*").alias("n")
+    )
+    return materialise(means.withColumn("length", F.sqrt(_dot(F.col("mean"), F.col("mean")))), "means")
+
+
+def _join_means(rows: DataFrame, means: DataFrame, dimensions: int) -> DataFrame:
+    """Each row beside its topic's mean, broadcasting at most _MEANS_BYTES of them."""
+    return join_by_frequency(rows, means, ["topic_id"], "n", max(1, _MEANS_BYTES // (8 * max(1, dimensions))))
+
+
 def lexical_representatives(
-    features: LexicalFeatures, assigned: DataFrame, size: int = fixed.REPRESENTATIVES_PER_TOPIC
+    features: LexicalFeatures, size: int = fixed.REPRESENTATIVES_PER_TOPIC
 ) -> DataFrame:
     """(topic_id, row_no, position, similarity): rows nearest their topic mean.
 
     The mean is one dense array per topic, so each row is compared inside the
     row and only the best few of each task reach the shuffle.
     """
-    rows = assigned.select("row_no", "topic_id")
-    means = rows.join(features.vectors, "row_no").groupBy("topic_id").agg(
-        vector_to_array(Summarizer.mean(F.col("features"))).alias("mean")
-    ).withColumn("length", F.sqrt(_dot(F.col("mean"), F.col("mean"))))
+    means = _topic_means(features.vectors, "features")
     dot = F.aggregate(
         F.arrays_zip("indices", "values"), F.lit(0.0),
         lambda s, x: s + x["values"] * F.get("mean", x["indices"]),
     )
-    scored = rows.join(features.sparse, "row_no").join(means, "topic_id").select(
+    scored = _join_means(features.sparse, means, len(features.terms)).select(
         "topic_id", "row_no", F.when(F.col("length") > 0, dot / F.col("length")).otherwise(0.0).alias("similarity")
     )
     return _nearest(scored, size)
@@ -183,9 +204,10 @@ def embedding_representatives(
 ) -> DataFrame:
     """The same over an embedding column of ``assigned``."""
     rows = assigned.select("row_no", "topic_id", F.col(embedding).cast("array<double>").alias("v"))
-    means = rows.groupBy("topic_id").agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("mean"))
-    scale = F.sqrt(_dot(F.col("v"), F.col("v"))) * F.sqrt(_dot(F.col("mean"), F.col("mean")))
-    scored = rows.join(means, "topic_id").select(
+    means = _topic_means(rows.select("topic_id", array_to_vector("v").alias("u")), "u")
+    dimensions = means.agg(F.max(F.size("mean")).alias("d")).first().d or 1
+    scale = F.sqrt(_dot(F.col("v"), F.col("v"))) * F.col("length")
+    scored = _join_means(rows, means, dimensions).select(
         "topic_id", "row_no", F.when(scale > 0, _dot(F.col("v"), F.col("mean")) / scale).otherwise(0.0).alias("similarity")
     )
     return _nearest(scored, size)

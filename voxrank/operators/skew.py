@@ -10,16 +10,29 @@ from pyspark.sql import functions as F
 HEAVY_KEYS = 20_000
 
 
+def counted_broadcast(df: DataFrame, most_rows: int = HEAVY_KEYS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows, else as it is.
+
+    Counts, so ``df`` should be a small written table or derive from one. The
+    hint matters because size estimates of aggregated tables are far too high:
+    without it the large side of the join would be shuffled.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def join_by_frequency(
     rows: DataFrame, lookup: DataFrame, keys: Sequence[str], frequency: str, heavy_keys: int = HEAVY_KEYS
 ) -> DataFrame:
     """Inner join of many ``rows`` to a ``lookup`` that knows each key's frequency.
 
-    ``frequency`` is the number of ``rows`` per key, so the keys holding more
-    than 1/heavy_keys of all rows number fewer than ``heavy_keys``: that proven
-    bound makes them safe to broadcast. Every other key is, by the same
-    threshold, too small to skew the shuffled join. All rows are kept.
+    ``lookup`` is a written table. Up to ``heavy_keys`` rows of it are simply
+    broadcast. Beyond that, ``frequency`` (the number of ``rows`` per key) splits
+    it: keys holding more than 1/heavy_keys of all rows number fewer than
+    ``heavy_keys``, a proven bound for a broadcast, and every other key is too
+    small to skew a shuffled join. All rows are kept.
     """
+    if lookup.limit(heavy_keys + 1).count() <= heavy_keys:
+        return rows.join(F.broadcast(lookup), list(keys))
     total = lookup.agg(F.sum(frequency).alias("n")).scalar()
     is_heavy = F.col(frequency) * heavy_keys > total
     heavy = F.broadcast(lookup.where(is_heavy))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
 from voxrank.operators import density, lexical
+from voxrank.operators.clean import review_id
 from voxrank.session import materialise
 
 
@@ -105,7 +106,7 @@ def discover_topics(
         assigned = kmeans(vectors, k, restarts=restarts)
         if embedded is not None:
             method = "Embeddings + KMeans"
-    described = describe(spaced, assigned, words, embedded)
+    described = describe(assigned, words, embedded)
     labelled = spaced.drop("topic_id", "topic").join(assigned, "row_no").join(
         described.select("topic_id", F.col("label").alias("topic")), "topic_id", "left"
     )
@@ -128,19 +129,24 @@ def _embeddings(spaced, mode, load_model, column, warnings) -> DataFrame | None:
         return None
 
 
+def listed_ids(nearest: DataFrame) -> DataFrame:
+    """(topic_id, representative_ids) in order; ids follow from row numbers."""
+    row = F.struct("position", review_id(F.col("row_no")).alias("id"))
+    return nearest.groupBy("topic_id").agg(
+        F.transform(F.sort_array(F.collect_list(row)), lambda x: x["id"]).alias("representative_ids")
+    )
+
+
 def describe(
-    reviews: DataFrame, assigned: DataFrame, words: lexical.LexicalFeatures, embedded: DataFrame | None = None
+    assigned: DataFrame, words: lexical.LexicalFeatures, embedded: DataFrame | None = None
 ) -> DataFrame:
     """(topic_id, label, keywords, representative_ids), one row per topic."""
+    placed = words.with_topics(assigned)
     if embedded is None:
-        nearest = lexical.lexical_representatives(words, assigned)
+        nearest = lexical.lexical_representatives(placed)
     else:
         nearest = lexical.embedding_representatives(assigned.join(embedded, "row_no"))
-    ids = nearest.join(reviews.select("row_no", "review_id"), "row_no").groupBy("topic_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "review_id"))), lambda x: x["review_id"])
-        .alias("representative_ids")
-    )
-    topics = lexical.topic_keywords(words, assigned).join(ids, "topic_id")
+    topics = lexical.topic_keywords(placed).join(listed_ids(nearest), "topic_id")
     return materialise(topics.select("topic_id", "label", "keywords", "representative_ids"), "topics")
 
 

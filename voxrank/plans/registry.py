@@ -259,13 +259,12 @@ def tfidf_weights(spark, sf):
 
 @query
 def topic_keywords(spark, sf):
-    spaced = _spaced(spark, sf)
-    found = lexical.topic_keywords(lexical.lexical_features(spaced, STOP_WORDS), spaced)
+    found = lexical.topic_keywords(lexical.lexical_features(_spaced(spark, sf), STOP_WORDS))
     return found.select(F.col("topic_id").cast("long").alias("topic_id"), F.array_join("keywords", ", ").alias("keywords"), "label")
 
 
 def _representatives(spaced: DataFrame) -> DataFrame:
-    return lexical.lexical_representatives(lexical.lexical_features(spaced, STOP_WORDS), spaced)
+    return lexical.lexical_representatives(lexical.lexical_features(spaced, STOP_WORDS))
 
 
 @query
@@ -371,11 +370,8 @@ def _evidence(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     reviews = _flagged(spark, sf)
     narrow = reviews.select(*analyze.NARROW)
     scores = materialise(analyze.score(narrow)[2], "scores")
-    spaced = reviews.select("row_no", "topic_id", "review_id", F.col("review_text").alias("topic_text"))
-    nearest = _representatives(spaced).join(spaced.select("row_no", "review_id"), "row_no")
-    listed = nearest.groupBy("topic_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("position", "review_id"))), lambda x: x["review_id"]).alias("representative_ids")
-    )
+    spaced = reviews.select("row_no", "topic_id", F.col("review_text").alias("topic_text"))
+    listed = topics.listed_ids(_representatives(spaced))
     ids = materialise(evidence.ids_by_kind(listed, evidence.supporting_rows(narrow)), "ids")
     return reviews, scores, ids
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxrank import fixed_values as fixed
 from voxrank.functions.numbers import fixed_decimals
 from voxrank.functions.text import shorten
+from voxrank.operators.skew import counted_broadcast
 
 
 def headline(reviews: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def topic_voices(topics: DataFrame, reviews: DataFrame) -> DataFrame:
     """Representative reviews of every topic in source order of the reviews."""
     wanted = topics.select("topic_id", F.explode("representative_ids").alias("review_id"))
     rows = reviews.select("row_no", "review_id", "review_text", "sentiment_label", "source")
-    return wanted.join(rows, "review_id").select(
+    return rows.join(counted_broadcast(wanted), "review_id").select(
         "topic_id", "row_no", "review_id", "review_text", "sentiment_label",
         F.coalesce("source", F.lit("Source unavailable")).alias("source"),
     )
