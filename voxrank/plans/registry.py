@@ -18,7 +18,7 @@ from voxrank.functions import text as tx
 from voxrank.operators import (
     brief, clean, density, evaluate, evidence, impact, lexical, naming, responses, sentiment, topics, trends,
 )
-from voxrank.plans import analyze, views
+from voxrank.plans import analyze, evaluation, views
 from voxrank.session import materialise, store
 from voxrank.sources import corpus, exports, files
 
@@ -632,6 +632,12 @@ def label_accuracy(spark, sf):
     return _rounded(evaluate.label_accuracy(_rerun(spark, sf)[2]))
 
 
+@query
+def evaluation_summary(spark, sf):
+    reviews, scores, ids = _evidence(spark, sf)
+    return _rounded(evaluation.evaluation_summary(reviews, scores, ids, _rerun(spark, sf)[2]))
+
+
 @query
 def validation_sample(spark, sf):
     return evaluate.validation_sample(_clean(spark, sf))

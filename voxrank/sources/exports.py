@@ -29,6 +29,11 @@ def write_csv(df: DataFrame, path: str, byte_order_mark: bool = True, mode: str
                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object per row, nulls included, text as it is."""
+    df.write.json(path, mode=mode, ignoreNullFields=False)
+
+
 def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 of each file's bytes, for uploads that fit one task."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
