@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
+from voxrank.operators.skew import counted_broadcast
+from voxrank.session import materialise
+
+_MOST_BLOCKS = 1_000_000  # input blocks whose offsets are broadcast; 100 TB has about 800,000
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -41,7 +45,8 @@ def with_row_numbers(scan: DataFrame, name: str = "row_no") -> DataFrame:
 
     Only one row per input block passes through a single task: blocks are
     counted, the counts become running offsets, and each row adds its position
-    inside its block. Must be applied directly to a scan.
+    inside its block. The offsets are broadcast up to a counted size, so the
+    rows themselves are not shuffled. Must be applied directly to a scan.
     """
     located = scan.select(
         "*",
@@ -53,7 +58,7 @@ def with_row_numbers(scan: DataFrame, name: str = "row_no") -> DataFrame:
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     return (
-        located.join(offsets, ["_file", "_block"])
+        located.join(counted_broadcast(materialise(offsets, "blocks"), _MOST_BLOCKS), ["_file", "_block"])
         .withColumn(name, F.col("_offset") + F.col("_seen") - F.col("_first"))
         .drop("_file", "_block", "_seen", "_first", "_offset")
     )
