@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrank.llm import chat_format, kd_shards, quality_rules
+from voxrank.llm import chat_format, kd_shards, piece_lattice, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    docs = _table(spark, folder, "documents").select(
+        "doc_id", "text", F.crc32(text.cast("binary")).alias("text_crc32"), F.length(text).alias("chars"))
+    kept = ("doc_id", "text_crc32", "chars")
+    encoded = piece_lattice.encode(docs, keep=kept)
+    more = (
+        F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        F.round("score", 6).alias("score"),
+        F.transform("nbest", lambda x: F.round(x["score"], 6)).alias("other_scores"),
+    )
+    ready = encoded.select(*kept, "ids", *more)
+    back = piece_lattice.decode(ready, keep=(*kept, "n_pieces", "ids_crc32", "score", "other_scores"))
+    same = F.crc32(text.cast("binary")).eqNullSafe(F.col("text_crc32")) & F.length(text).eqNullSafe(F.col("chars"))
+    return back.select("doc_id", "n_pieces", "ids_crc32", "score", "other_scores", same.alias("round_trip"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -42,5 +59,5 @@ def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards}
+QUERIES = {"op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards}
 CHECKS: dict[str, str] = {}
