@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrank.llm import chat_format, kd_shards, piece_lattice, quality_rules
+from voxrank.llm import chat_format, kd_shards, piece_lattice, quality_rules, string_kernel
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return string_kernel.score(docs, string_kernel.train(docs, _table(spark, folder, "labels")))
+
+
 def op4_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, folder, "documents").select(
@@ -59,5 +64,5 @@ def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards}
+QUERIES = {"op1_string_kernel": op1_string_kernel, "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards}
 CHECKS: dict[str, str] = {}
