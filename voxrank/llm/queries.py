@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrank.llm import chat_format, kd_shards, piece_lattice, quality_rules, string_kernel
+from voxrank.llm import chat_format, importance_sampling, kd_shards, piece_lattice, quality_rules, string_kernel, token_rollup
+from voxrank.session import scratch_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +20,10 @@ def op1_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return string_kernel.score(docs, string_kernel.train(docs, _table(spark, folder, "labels")))
 
 
+def op2_importance_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_sampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, folder, "documents").select(
@@ -64,5 +71,26 @@ def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_string_kernel": op1_string_kernel, "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards}
+def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents go in; later copies of equal texts go out; texts in other languages move to a second tokenizer."""
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    rollup = token_rollup.TokenRollup(spark, f"{scratch_folder(spark)}/voxrank/rollup-{uuid.uuid4().hex}")
+    first, second = token_rollup.VERSIONS
+    rollup.apply("all", docs.withColumn("op", F.lit("insert")), first)
+    states = rollup.states()
+    kept = states.groupBy("text_hash").agg(F.min("doc_id").alias("kept"))
+    copies = states.join(kept, "text_hash").where("doc_id > kept").select(
+        "doc_id", F.lit("delete").alias("op"), "source", "lang", F.lit(None).cast("string").alias("text"))
+    rollup.apply("copies", copies, first)
+    rollup.apply("other-languages", docs.where("lang <> 'en'").withColumn("op", F.lit("revise")), second)
+    rollup.apply("copies", copies, first)  # sent again: no effect
+    return rollup.totals().select(
+        "source", "lang", F.col("version").alias("tokenizer_version"), F.col("documents").alias("n_docs"),
+        F.col("tokens").alias("n_tokens"))
+
+
+QUERIES = {
+    "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
+    "op9_token_rollup": op9_token_rollup,
+}
 CHECKS: dict[str, str] = {}
