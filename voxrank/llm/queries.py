@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrank.llm import chat_format, importance_sampling, kd_shards, piece_lattice, quality_rules, string_kernel, token_rollup
+from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, piece_lattice, quality_rules, string_kernel, token_rollup
 from voxrank.session import scratch_folder
 
 
@@ -45,6 +45,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op6_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.join(_table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
 def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     marks = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame(
@@ -90,7 +94,8 @@ def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
+    "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
+    "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
     "op9_token_rollup": op9_token_rollup,
 }
 CHECKS: dict[str, str] = {}
