@@ -38,7 +38,7 @@ N_BEST = 4
 BYTE_PENALTY = 10.0
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
-_CELLS = 1 << 22  # lattice cells worked on at once
+_CELLS = 1 << 20  # lattice cells worked on at once
 
 EDIT = "struct<at:int,drop:int,ids:array<int>>"
 ENCODED = f"ids array<int>, score double, nbest array<struct<score:double,edits:array<{EDIT}>>>"
@@ -191,7 +191,7 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Known:
     """Best segmentations of the units seen so far, by hash; forgotten when there are too many."""
 
-    most = 800_000
+    most = 250_000
 
     def __init__(self) -> None:
         self.clear()
@@ -283,7 +283,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str = MODEL_PATH,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, listed, known = pieces.value, {}, _Known()
-        for rows, data, offsets in tb.chunks(batches):
+        for rows, data, offsets in tb.chunks(batches, 2 << 20):
             null = np.array(rows.column("text").is_null())
             # the encoder sees a space before each text that is not empty
             sizes = np.diff(offsets)

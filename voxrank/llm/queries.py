@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, piece_lattice, quality_rules, string_kernel, token_rollup
+from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, piece_lattice, quality_rules, string_kernel, token_rollup
 from voxrank.session import scratch_folder
 
 
@@ -24,6 +24,10 @@ def op2_importance_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return importance_sampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op3_latent_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    return latent_decontam.scan(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     docs = _table(spark, folder, "documents").select(
@@ -94,7 +98,8 @@ def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
+    "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op3_latent_decontam": op3_latent_decontam,
+    "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
     "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
     "op9_token_rollup": op9_token_rollup,
 }

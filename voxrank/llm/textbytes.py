@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+_BLOCK = 1 << 20  # bytes hashed at once
 U = np.uint64
 #: Bytes that separate words: space and U+0009-000D.
 SPACE = np.zeros(256, bool)
@@ -77,7 +78,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES)
+        n = max(n, _BLOCK)
         _powers[:] = [
             np.cumprod(np.concatenate([[U(1)], np.full(n - 1, U(base))]), dtype=U)
             for base in (_BASE, pow(_BASE, -1, 2**64))
@@ -89,7 +90,7 @@ def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
         low, high = starts[at], ends[to - 1]
         power, inverse = _power_tables(high - low)
         sums = np.zeros(high - low + 1, U)
