@@ -107,8 +107,11 @@ def signatures(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", "text", *more).mapInArrow(run, schema)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows sorted by ``keys``, cut again so that no group is spread over two (windows of WINDOW rows aside)."""
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], bounded: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by ``keys``, cut again so that no group is spread over two.
+
+    ``bounded``: a group of more than WINDOW rows comes in parts, each with the row before it.
+    """
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -128,7 +131,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
             held, count = [], 0
         held.append(batch.slice(last))
         count += batch.num_rows - last
-        if count > WINDOW:
+        if bounded and count > WINDOW:
             yield _joined(held)
             held, count = [held[-1].slice(held[-1].num_rows - 1)], 1
     if held:
@@ -313,7 +316,7 @@ def links(blocks: DataFrame, threshold: Fraction) -> DataFrame:
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, ["component", "low", "high"]):
+        for batch in groups(batches, ["component", "low", "high"], bounded=False):
             key = np.column_stack([np.asarray(batch.column(c)) for c in ("component", "low", "high")])
             edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
             ids, block, copies = (np.asarray(batch.column(c)) for c in ("set_id", "block", "copies"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, piece_lattice, quality_rules, string_kernel, token_rollup
+from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, line_suffixes, piece_lattice, quality_rules, string_kernel, token_rollup
 from voxrank.session import scratch_folder
 
 
@@ -97,10 +97,17 @@ def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("tokens").alias("n_tokens"))
 
 
+def op10_line_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_suffixes.dedup_lines(_table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id", F.col("removed_lines").cast("long").alias("removed_lines"),
+        F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op3_latent_decontam": op3_latent_decontam,
     "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
     "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
-    "op9_token_rollup": op9_token_rollup,
+    "op9_token_rollup": op9_token_rollup, "op10_line_suffixes": op10_line_suffixes,
 }
 CHECKS: dict[str, str] = {}

@@ -101,6 +101,13 @@ def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of a sequence of hashes; equal sequences agree wherever they stand."""
+    power, inverse = _power_tables(len(values) + 1)
+    sums = np.concatenate([[U(0)], np.cumsum(mix(values + U(1)) * power[: len(values)], dtype=U)])
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def window_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the ``size`` words from each word on that stay inside one row, and the rows' bounds among them.
 
