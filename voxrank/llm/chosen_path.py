@@ -31,7 +31,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxrank.llm import textbytes as tb
@@ -89,9 +89,10 @@ def sampled_places(threshold: float, runs: int, seed: int) -> list[tuple[int, in
     return out
 
 
-def signatures(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, set_id, the number of windows and the tokens of each row."""
-    schema = docs.select("doc_id", *more).schema.add("set_id", "long").add("size", "integer").add("tokens", "binary")
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, set_id, the number of windows and the tokens of each row."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = rows.drop("text").schema.add("set_id", "long").add("size", "integer").add("tokens", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in tb.chunks(batches):
@@ -101,10 +102,10 @@ def signatures(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
                 sizes.append(len(members))
                 tokens.append(_tokens(members).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in ("doc_id", *more)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
+                [rows.column("doc_id"), rows.column("text_hash"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
                  pa.array(tokens, pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", "text", *more).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], bounded: bool = True) -> Iterator[pa.RecordBatch]:
@@ -239,7 +240,7 @@ def candidates(sets: DataFrame, threshold: float, runs: int, seed: int = 1) -> D
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs, "u long, v long")
 
 
-def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
+def bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
     """Bit set of the hashes in the one column of ``ids``, 16 bits each up to 8 MB in all."""
     count = ids.count()
     words = 1 << min(20, max(6, math.ceil(math.log2(max(1, count)) - 2)))
@@ -252,7 +253,8 @@ def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
     return table.view(U), words
 
 
-def _in_bloom(h: np.ndarray, table: np.ndarray, words: int) -> np.ndarray:
+def in_bloom(h: np.ndarray, table: np.ndarray, words: int) -> np.ndarray:
+    """Which hashes may be in the set."""
     out = np.ones(len(h), bool)
     for value in (h, (h.view(U) >> U(32)).view(np.int64)):
         bit = ((value >> 20) % 64).astype(U)
@@ -266,14 +268,14 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     The texts are read again and only those that pass a bit set of bounded size are
     shuffled; the join that follows drops the few that pass by chance.
     """
-    table, words = _bloom(wanted.select("first_hash"))
+    table, words = bloom(wanted.select("first_hash"))
     sent = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.chunks(batches):
             own = np.asarray(part.column("id_hash"))
-            pass_on = _in_bloom(own, sent.value, words)
+            pass_on = in_bloom(own, sent.value, words)
             ids, members, hashes = [], [], []
             for r, some in enumerate(_sets(data, offsets)):
                 if pass_on[r]:
@@ -342,21 +344,22 @@ def links(blocks: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, set_id, n_links and n_text_links of each row.
+    """doc_id, text_hash, class_id, n_links, n_text_links and is_first of each row.
 
     ``n_links`` counts the other rows linked to it, copies among them; ``n_text_links``
-    the other window sets linked to its own.
+    the other window sets linked to its own; ``is_first`` marks the class's first text,
+    by doc_id (nulls last) and text hash.
     """
     rows = materialise(signatures(docs), "signatures")
     sets = rows.groupBy("set_id").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
         F.first("tokens").alias("tokens"))
     sets = materialise(sets, "window-sets")
     runs = runs_needed(float(threshold), recall)
     near = components(candidates(sets.where("size > 0"), float(threshold), runs))
     near = materialise(
         near.withColumnsRenamed({"u": "set_id", "root": "component"}).join(sets.drop("tokens"), "set_id")
-        .withColumn("first_hash", F.xxhash64("first_id")), "near-sets")
+        .withColumn("first_hash", F.xxhash64("first.doc_id")), "near-sets")
     sums = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("windows"))
     sums = sums.select("component", F.greatest(
         F.ceil(F.col("n") / _BLOCK_SETS), F.ceil(F.col("windows") / _BLOCK_WINDOWS)).cast("int").alias("blocks"))
@@ -370,12 +373,22 @@ def join(docs: DataFrame, threshold: Fraction = THRESHOLD, recall: float = RECAL
     linked = found.groupBy("set_id").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
     roots = components(found.select(F.col("set_id").alias("u"), F.col("root").alias("v")))
     classes = (
-        sets.select("set_id", "first_id", "copies").join(roots.withColumnRenamed("u", "set_id"), "set_id", "left")
+        sets.select("set_id", "first", "copies").join(roots.withColumnRenamed("u", "set_id"), "set_id", "left")
         .join(linked, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     )
-    least = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    least = classes.groupBy("root").agg(F.min("first").alias("least"))
     classes = classes.join(least, "root").select(
-        "set_id", "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        "set_id", "least", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("sets", F.lit(0)).alias("n_text_links"))
-    return rows.select("doc_id", "set_id").join(classes, "set_id").select(
-        "doc_id", "class_id", "set_id", "n_links", "n_text_links")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash"))
+    return rows.select("doc_id", "text_hash", "set_id").join(classes, "set_id").select(
+        "doc_id", "text_hash", F.col("least.doc_id").alias("class_id"), "n_links", "n_text_links", first.alias("is_first"))
+
+
+def keep_first(docs: DataFrame, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of ``docs`` of each class, unchanged: its first text, and of rows repeated with it any one."""
+    key = F.xxhash64("doc_id", "text_hash").alias("_key")
+    firsts = join(docs, threshold, recall).where("is_first").select(key).distinct()
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", F.xxhash64("text")))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return rows.join(firsts, "_key", "left_semi").withColumn("_number", number).where("_number = 1").select(*docs.columns)

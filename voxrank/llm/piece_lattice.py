@@ -340,7 +340,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ..
                     text = pa.array([None if n else t for n, t in zip(null, text.to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), text], names=schema.names)
 
-    return encoded.select(*keep, "ids").mapInArrow(run, schema)
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
 
 
 def apply_edits(ids: list[int], edits: list[dict]) -> list[int]:

@@ -46,14 +46,16 @@ def _removed(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the base measures and the score of each rule, without the text."""
+def measures(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """doc_id, stratum, the base measures and the score of each rule, without the text; or with the row as one column."""
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if whole_rows else []
+    carried = ["_row"] if whole_rows else []
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(_SPACE))
     words = F.filter(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     first = docs.select(
-        "doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), words.alias("words"), lines.alias("lines"),
+        *row, "doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), words.alias("words"), lines.alias("lines"),
         _removed(text, "#*$%&|<>").alias("n_symbols"), _removed(text, "!").alias("n_exclamations"),
         _removed(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÀÂÎÔÛÑÁÍÓÚ").alias("n_capitals"),
     )
@@ -63,7 +65,7 @@ def measures(docs: DataFrame) -> DataFrame:
             F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
     )
     second = first.select(
-        "doc_id", "stratum", "n_symbols", "n_exclamations", "n_capitals", windows.alias("windows"),
+        *carried, "doc_id", "stratum", "n_symbols", "n_exclamations", "n_capitals", windows.alias("windows"),
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("word_chars"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_different"),
@@ -83,13 +85,16 @@ def measures(docs: DataFrame) -> DataFrame:
         lambda a: a["n"],
     )
     fourth = third.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_lines",
+        *carried, "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_exclamations", "n_capitals", "n_lines",
         (F.col("n_lines") - F.col("n_different")).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # a numbered row: the filter that reads the number stays above these projections, and
+    # the optimizer does not write their expressions into it again and again
+    number = [F.monotonically_increasing_id().alias("_number")] if whole_rows else []
     chars, count = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     return fourth.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carried, *number, "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
         .alias("base_failed"),
         (F.col("n_symbols") / chars).alias("symbols"), (F.col("n_capitals") / chars).alias("capitals"),
@@ -151,15 +156,29 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     )
 
 
+def _cutoff_rows(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """stratum and a map from rule to cutoff, small enough to send to every task if the strata are few."""
+    chosen = cutoffs(measured, labels, risk, delta).groupBy("stratum").agg(
+        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    return counted_broadcast(materialise(chosen, "quality-cutoffs"), 10_000)
+
+
+def _judged(measured: DataFrame, chosen: DataFrame) -> DataFrame:
+    hits = F.array_compact(F.array(*[F.when(F.col(r) > F.col("cutoffs")[r], F.lit(r)) for r in RULES]))
+    judged = measured.join(chosen, "stratum", "left").withColumn("rejected_by", F.array_join(hits, ","))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The measures of every row with base_failed, the rules that reject it and kept."""
     measured = materialise(measures(docs), "quality-measures")
-    chosen = materialise(
-        cutoffs(measured, labels, risk, delta).groupBy("stratum")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")), "quality-cutoffs")
-    judged = measured.join(counted_broadcast(chosen, 10_000), "stratum", "left")
-    hits = F.array_compact(F.array(*[F.when(F.col(r) > F.col("cutoffs")[r], F.lit(r)) for r in RULES]))
-    return judged.withColumn("rejected_by", F.array_join(hits, ",")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept"), "rejected_by", "stratum",
+    return _judged(measured, _cutoff_rows(measured, labels, risk, delta)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "rejected_by", "stratum",
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged. The measures are taken twice, so no text is shuffled."""
+    chosen = _cutoff_rows(materialise(measures(docs), "quality-measures"), labels, risk, delta)
+    return _judged(measures(docs, whole_rows=True), chosen).where("kept and _number >= 0").select("_row.*")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, line_suffixes, piece_lattice, quality_rules, string_kernel, token_rollup
 from voxrank.session import scratch_folder
 
@@ -109,5 +110,6 @@ QUERIES = {
     "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
     "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
     "op9_token_rollup": op9_token_rollup, "op10_line_suffixes": op10_line_suffixes,
+    "pipeline": corpus_pipeline.run,
 }
 CHECKS: dict[str, str] = {}
