@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, line_suffixes, piece_lattice, quality_rules, string_kernel, token_rollup
+from voxrank.llm.check_sql import CHECKS  # noqa: F401
 from voxrank.session import scratch_folder
 
 
@@ -47,7 +48,7 @@ def op4_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return quality_rules.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels")).drop("stratum")
 
 
 def op6_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,4 +113,3 @@ QUERIES = {
     "op9_token_rollup": op9_token_rollup, "op10_line_suffixes": op10_line_suffixes,
     "pipeline": corpus_pipeline.run,
 }
-CHECKS: dict[str, str] = {}
