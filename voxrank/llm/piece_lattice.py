@@ -12,7 +12,7 @@ from it only in the N-1 unit occurrences whose second segmentation costs least.
 Forward and backward Viterbi scores of all different units of a chunk are computed
 together with numpy and give that cost exactly. In the chosen units a backward A*
 search lists the segmentations: the forward Viterbi score of a position is the exact
-best rest, so paths leave the agenda in order of their score.
+best rest, so paths leave the agenda in order of their score (to six digits).
 
 Defined cases: a null text has null ids and decodes to null, an empty text has no
 ids; ties go to the longer last piece; long tokens take memory in proportion; rows
@@ -164,16 +164,22 @@ def n_best_unit(unit: bytes, pieces: Pieces, n_best: int) -> list[tuple[float, t
                 edges[end].append((start, i, score))
                 forward[end] = max(forward[end], forward[start] + score)
     found: list[tuple[float, tuple[int, ...]]] = []
-    agenda = [(-forward[size], 0, size, 0.0, ())]
+    # equal totals (to the sixth digit) leave the agenda youngest first, so ties do not fan out;
+    # a path is its first piece and the rest of it
+    agenda = [(-round(forward[size], 6), 0, size, 0.0, None)]
     pushed = 0
     while agenda and len(found) < n_best:
         _, _, at, done, path = heapq.heappop(agenda)
         if at == 0:
-            found.append((done, path))
+            ids = []
+            while path:
+                ids.append(path[0])
+                path = path[1]
+            found.append((done, tuple(ids)))
             continue
         for start, i, score in edges[at]:
             pushed += 1
-            heapq.heappush(agenda, (-(forward[start] + score + done), pushed, start, score + done, (i, *path)))
+            heapq.heappush(agenda, (-round(forward[start] + score + done, 6), -pushed, start, score + done, (i, path)))
     return found
 
 
