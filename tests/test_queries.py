@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from voxrank.plans.check_sql import CHECKS
+from voxrank.plans.registry import QUERIES
 
 TABLES = Path("/root/testdata/sf0.001")
 WITHOUT_SQL = {"kmeans_word_topics", "kmeans_embedding_topics", "density_embedding_topics", "brief_repeatability"}
@@ -27,10 +29,11 @@ def plain(row):
 
 
 def test_only_known_queries_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(CHECKS) == WITHOUT_SQL
+    assert set(QUERIES) <= set(contract.queries()) and set(CHECKS) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query(spark, database, name):
     frame = contract.queries()[name](spark, str(TABLES))
     columns = sorted(frame.columns)
