@@ -32,22 +32,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxrank.llm import textbytes as tb
-from voxrank.llm.chosen_path import groups
-from voxrank.session import materialise, store
+from voxrank.llm.chosen_path import bloom, groups, in_bloom
+from voxrank.session import materialise
 
 MIN_WORDS = 50
-_DOC = ["doc_id", "text_hash"]
-_PLACE = [*_DOC, "line"]
+_PLACE = ["doc_id", "text_hash", "line"]
+
+
+def _doc_key() -> Column:
+    return F.xxhash64("doc_id", F.xxhash64("text"))
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, line (from 0), id, lines (of the text) and stretch, a hash of the shortest run of min_words from it on."""
-    rows = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, line int, id long, lines int, stretch long"
+    """doc (a key of id and text), doc_id, text_hash, line (from 0), id, lines (of the text) and stretch.
+
+    ``stretch`` is a hash of the shortest run of min_words from the line on, null if the text ends before.
+    """
+    rows = docs.where("text is not null").select(_doc_key().alias("doc"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = f"doc long, doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, line int, id long, lines int, stretch long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in tb.chunks(batches):
@@ -67,52 +73,44 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
             stretch[at] = tb.range_hashes(ids, at, stop[at]).view(np.int64)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(take), part.column("text_hash").take(take),
+                [part.column("doc").take(take), part.column("doc_id").take(take), part.column("text_hash").take(take),
                  pa.array((np.arange(len(ids)) - bounds[:-1][row]).astype(np.int32)), pa.array(ids.view(np.int64)),
                  pa.array(np.diff(bounds)[row].astype(np.int32)), pa.array(stretch, mask=~inside)],
-                names=["doc_id", "text_hash", "line", "id", "lines", "stretch"])
-
-    return rows.mapInArrow(run, schema).dropDuplicates(_PLACE)
-
-
-def _same_doc(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])
-
+                names=["doc", "doc_id", "text_hash", "line", "id", "lines", "stretch"])
 
-def _remove(df_path: str, spark) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return rows.mapInArrow(run, schema)
 
 
 def suffix_ranks(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``rank``: the number of suffixes that sort before those equal to the line's."""
-    spark = lines.sparkSession
+    """doc, line and rank: the number of suffixes that sort before those equal to the line's. ``lines``: doc, line, id."""
     sizes = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.shiftright("id", 52))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # 4,096 rows at most
     parts = parts.select("part", before(Window.orderBy("part")).alias("base"))
     first = sizes.withColumn("inside", before(Window.partitionBy("part").orderBy("id"))).join(F.broadcast(parts), "part")
     first = first.select("id", (F.col("base") + F.col("inside")).alias("rank"), (F.col("n") > 1).alias("open"))
-    schema = lines.join(first, "id").schema
-    path = store(lines.join(first, "id"), "suffix-ranks")
-    step = 1
+    now = materialise(lines.join(first, "id").select("doc", "line", "rank", "open", (~F.col("open")).alias("closes")), "suffix-ranks")
+    closed, step = [], 1
     while True:
-        now = spark.read.schema(schema).parquet(path)
+        closed.append(now.where("closes").select("doc", "line", "rank"))
         if now.where("open").isEmpty():
-            return now.drop("open")
-        ahead = Window.partitionBy(*_DOC).orderBy("line").rangeBetween(step, step)
-        paired = now.withColumn("next", F.coalesce(F.max("rank").over(ahead), F.lit(-1).cast("long")))
+            break
+        whole = Window.partitionBy("doc")
+        paired = now.select("doc", "line", "rank", "open").withColumns({
+            "next": F.coalesce(F.max("rank").over(whole.orderBy("line").rangeBetween(step, step)), F.lit(-1).cast("long")),
+            "alive": F.max("open").over(whole)}).where("alive")  # a document without open lines is done
         pairs = paired.where("open").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
-        in_group = Window.partitionBy("rank").orderBy("next")
-        pairs = pairs.withColumn("smaller", before(in_group)).select(
-            "rank", "next", F.lit(True).alias("open"), (F.col("rank") + F.col("smaller")).alias("new_rank"),
-            ((F.col("n") > 1) & (F.col("next") >= 0)).alias("still_open"))
-        moved = paired.join(pairs, ["rank", "next", "open"], "left").select(
-            *[c for c in now.columns if c not in ("rank", "open")], F.coalesce("new_rank", "rank").alias("rank"),
-            F.coalesce("still_open", F.lit(False)).alias("open"))
-        after = store(moved.select(*now.columns), "suffix-ranks")
-        _remove(path, spark)
-        path, step = after, step * 2
+        pairs = pairs.withColumn("smaller", before(Window.partitionBy("rank").orderBy("next"))).select(
+            "rank", "next", (F.col("rank") + F.col("smaller")).alias("new_rank"),
+            ((F.col("n") > 1) & (F.col("next") >= 0)).alias("still"))
+        moved = paired.where("open").join(pairs, ["rank", "next"]).select(
+            "doc", "line", F.col("new_rank").alias("rank"), F.col("still").alias("open"), (~F.col("still")).alias("closes"))
+        fixed = paired.where("not open").select("doc", "line", "rank", "open", F.lit(False).alias("closes"))
+        now, step = materialise(moved.unionByName(fixed), "suffix-ranks"), step * 2
+    ranks = closed[0]
+    for part in closed[1:]:
+        ranks = ranks.unionByName(part)
+    return ranks
 
 
 def _prefix_lengths(a: np.ndarray, b: np.ndarray, pairs: list) -> list[int]:
@@ -151,29 +149,27 @@ def _longest_earlier(places: list[tuple], common: list[int]) -> list[int]:
     return out
 
 
-def repeated_runs(ranked: DataFrame) -> DataFrame:
-    """doc_id, text_hash, low and high: line ranges that also occur earlier, with a repeated stretch."""
+def repeated_runs(lines: DataFrame, ranks: DataFrame) -> DataFrame:
+    """doc, low and high: line ranges that also occur earlier, with a repeated stretch."""
     place = F.struct(*_PLACE)
-    twice = ranked.where("stretch is not null")
+    twice = lines.where("stretch is not null").drop("id")
     often = twice.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stretch")
-    twice = twice.join(often, "stretch", "left_semi")
-    classes = twice.groupBy("stretch", "rank").agg(F.min(F.struct(*_PLACE, "lines")).alias("p"), F.count(F.lit(1)).alias("n"))
+    twice = twice.join(often, "stretch", "left_semi").join(ranks, ["doc", "line"])
+    twice = materialise(twice, "suffixes")
+    classes = twice.groupBy("stretch", "rank").agg(F.min(F.struct(*_PLACE, "doc")).alias("p"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes.select("stretch", "rank", "p.*", "n"), "suffix-classes")
     # equal suffixes: all but the first are copies to the end of their documents
-    firsts = classes.where("n > 1").select("rank", "stretch", place.alias("first"))
-    copies = twice.join(firsts, ["rank", "stretch"]).where(place != F.col("first")).select(
-        *_DOC, F.col("line").alias("low"), F.col("lines").alias("high"))
+    firsts = classes.where("n > 1").select("rank", "stretch", F.col("doc").alias("d"), F.col("line").alias("l"))
+    copies = twice.join(firsts, ["rank", "stretch"]).where("doc <> d or line <> l").select(
+        "doc", F.col("line").alias("low"), F.col("lines").alias("high"))
     chain = Window.partitionBy("stretch").orderBy("rank")
-    near = classes.select("stretch", "rank", *_PLACE, F.lag(place).over(chain).alias("prev"))
+    near = classes.drop("n").withColumn("prev", F.lag(F.struct("doc", "line")).over(chain))
     near = materialise(near, "suffix-neighbours")
-    by_docs = near.where("prev is not null").groupBy(
-        *_DOC, F.col("prev.doc_id").alias("prev_doc"), F.col("prev.text_hash").alias("prev_hash")
-    ).agg(F.collect_list(F.struct("line", F.col("prev.line").alias("prev_line"), "stretch", "rank")).alias("pairs"))
-    ids = ranked.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("line", "id"))).alias("s")).select(
-        *_DOC, F.transform("s", lambda x: x["id"]).alias("ids"))
-    other = ids.toDF("other_doc", "other_hash", "other_ids")
-    both = by_docs.join(ids, _same_doc(by_docs, ids)).select(by_docs["*"], "ids")
-    both = both.join(other, F.col("prev_doc").eqNullSafe(F.col("other_doc")) & (F.col("prev_hash") == F.col("other_hash")))
+    by_docs = near.where("prev is not null").groupBy("doc", F.col("prev.doc").alias("other")).agg(
+        F.collect_list(F.struct("line", F.col("prev.line").alias("prev_line"), "stretch", "rank")).alias("pairs"))
+    ids = lines.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line", "id"))).alias("s")).select(
+        "doc", F.transform("s", lambda x: x["id"]).alias("ids"))
+    both = by_docs.join(ids, "doc").join(ids.toDF("other", "other_ids"), "other")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +186,6 @@ def repeated_runs(ranked: DataFrame) -> DataFrame:
 
     common = both.select("pairs", "ids", "other_ids").mapInArrow(measure, "stretch long, rank long, common int")
     chained = near.drop("prev").join(common, ["stretch", "rank"], "left")
-    kind = dict(ranked.dtypes)["doc_id"]
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, ["stretch"], bounded=False):
@@ -203,17 +198,16 @@ def repeated_runs(ranked: DataFrame) -> DataFrame:
             at = pa.array(np.flatnonzero(longest))
             low = np.asarray(batch.column("line"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("text_hash").take(at),
-                 pa.array(low).take(at), pa.array((low + longest).astype(np.int32)).take(at)],
-                names=["doc_id", "text_hash", "low", "high"])
+                [batch.column("doc").take(at), pa.array(low).take(at), pa.array((low + longest).astype(np.int32)).take(at)],
+                names=["doc", "low", "high"])
 
     runs = chained.repartition("stretch").sortWithinPartitions("stretch", "rank").mapInArrow(
-        intervals, f"doc_id {kind}, text_hash long, low int, high int")
+        intervals, "doc long, low int, high int")
     return runs.unionByName(copies)
 
 
-@F.pandas_udf("struct<text:string,lines:int,removed:int>")
 def _without(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    """The texts without the lines in their runs, with the numbers of their lines and of those removed."""
     out = []
     for t, some in zip(text, runs, strict=True):
         if t is None or some is None:
@@ -241,16 +235,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the later copies of repeated line runs, with ``removed_lines``."""
     lines = materialise(line_table(docs, min_words), "lines")
     often = lines.where("stretch is not null").groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("stretch")
-    holders = lines.join(often, "stretch", "left_semi").select(*_DOC).distinct().toDF("doc", "hash")
-    mine = materialise(
-        lines.join(holders, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash")), "left_semi"), "shared-lines")
-    runs = repeated_runs(suffix_ranks(mine)).groupBy(*_DOC).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    runs = materialise(runs.toDF("_doc", "_hash", "_runs"), "line-runs")
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    found = found.withColumn("_new", _without(F.when(F.col("_runs").isNotNull(), F.col("text")), "_runs"))
+    holders = lines.select("doc", "stretch").join(often, "stretch", "left_semi").select("doc").distinct()
+    mine = materialise(lines.join(holders, "doc", "left_semi").dropDuplicates(["doc", "line"]), "shared-lines")
+    runs = repeated_runs(mine, suffix_ranks(mine.select("doc", "line", "id"))).groupBy("doc").agg(
+        F.collect_set(F.struct("low", "high")).alias("_runs"))
+    runs = materialise(runs.withColumnRenamed("doc", "_doc"), "line-runs")
+    # only texts that pass a bit set of bounded size are shuffled to the runs
+    table, words = bloom(runs.select("_doc"))
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_have_runs(doc: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(doc.to_numpy(np.int64), sent.value, words))
+
+    rows = docs.withColumn("_doc", _doc_key())
+    rows = rows.withColumn("_may", may_have_runs("_doc"))
+    found = rows.where("_may").join(runs, "_doc", "left")
+    without = F.pandas_udf(_without, "struct<text:string,lines:int,removed:int>")
+    found = found.withColumn("_new", without(F.when(F.col("_runs").isNotNull(), F.col("text")), "_runs"))
     text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.col("_new.text"))
     columns = {"text": text, "removed_lines": F.coalesce("_new.removed", F.lit(0))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col("_runs").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
-    return found.withColumns(columns).select(*docs.columns, "removed_lines")
+    found = found.withColumns(columns).select(*docs.columns, "removed_lines")
+    rest = rows.where("not _may").withColumn("removed_lines", F.lit(0)).select(*docs.columns, "removed_lines")
+    return found.unionByName(rest)
