@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxrank.operators import clean
+from voxrank.operators.trends import iso_instant
+from voxrank.sources.exports import table_fingerprint
 
 
 def upload(spark, rows, schema):
@@ -93,3 +95,32 @@ def test_empty_upload(spark):
     kept, report = run(spark.createDataFrame([], "row_no long, text string"))
     assert kept.count() == 0
     assert (report.uploaded, report.valid, report.average_length) == (0, 0, 0.0)
+
+
+NOTATIONS = {
+    "1/5/24": "2024-01-05T00:00:00+00:00", "Jan 5 2024": "2024-01-05T00:00:00+00:00", "2024.01.05": "2024-01-05T00:00:00+00:00",
+    "Fri, 05 Jan 2024 10:00:00 GMT": "2024-01-05T10:00:00+00:00", "05-Jan-2024": "2024-01-05T00:00:00+00:00",
+    "1/5/2024 3:04 PM": "2024-01-05T15:04:00+00:00", "2024-01-05": "2024-01-05T00:00:00+00:00", "2024-01": "2024-01-01T00:00:00+00:00",
+    "2024": "2024-01-01T00:00:00+00:00", "2024-01-05 10:00": "2024-01-05T10:00:00+00:00",
+    "2024-01-05T10:00:00.5+02:00": "2024-01-05T08:00:00.500000+00:00", "13/1/2024": "2024-01-13T00:00:00+00:00",
+    "2024-03-10 02:30:00": "2024-03-10T02:30:00+00:00", "1969-12-31 23:59:59.25": "1969-12-31T23:59:59.250000+00:00", "soon": None,
+}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_dates_do_not_depend_on_the_session_zone(spark, zone):
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", zone)
+    frame = other.createDataFrame([(text,) for text in NOTATIONS], "date string")
+    rows = frame.select("date", iso_instant(clean.parsed_date(F.col("date"))).alias("iso")).collect()
+    assert {r.date: r.iso for r in rows} == NOTATIONS
+
+
+def test_snapshot_fingerprint_does_not_depend_on_the_session_zone(spark):
+    prints = set()
+    for zone in ("UTC", "America/New_York"):
+        other = spark.newSession()
+        other.conf.set("spark.sql.session.timeZone", zone)
+        frame = other.range(3).select(F.timestamp_seconds(F.col("id") * 1000).alias("at"), F.lit(None).cast("string").alias("x"))
+        prints.add(tuple(table_fingerprint(frame).first()))
+    assert len(prints) == 1

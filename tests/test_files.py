@@ -34,6 +34,18 @@ def test_row_numbers_follow_files_and_blocks(spark, tmp_path):
     assert len(rows) == 12000 and all(r.row_no == r.key for r in rows)
 
 
+def test_row_numbers_survive_other_splits_at_the_action(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("key\n" + "\n".join(str(i) for i in range(40_000)) + "\n")
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    other.conf.set("spark.sql.files.minPartitionNum", "2")
+    frame = files.with_row_numbers(files.read_csv(other, str(tmp_path), multi_line=False))
+    other.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    other.conf.set("spark.sql.files.minPartitionNum", "5")
+    rows = frame.select("row_no", F.col("key").cast("long").alias("key")).collect()
+    assert len(rows) == 40_000 and all(r.row_no == r.key for r in rows)
+
+
 def test_validation_keeps_blanks(spark, tmp_path):
     path = tmp_path / "validation.csv"
     path.write_text('review_text,human_topic,topic_correct\n"NA",,""\nx,Display,True\n')

@@ -11,6 +11,8 @@ from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_WEEKDAY = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,\s+"
+_ZONE = r"[ T]\d{1,2}:\d\d.*(Z|z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?|[A-Z][a-z]+/[A-Z]\w+)\s*$"
 _ISO_DATE = r"^\s*\d{4}-\d{1,2}(-\d{1,2}([ T].*)?)?\s*$|^\s*\d{4}\s*$"
 
 ROW_CHECKS = ["status", "dedup_key", "invalid_rating", "invalid_date", "missing_flags"]
@@ -49,12 +51,21 @@ def usable_rating(df: DataFrame, name: str) -> Column:
 def parsed_date(date: Column) -> Column:
     """Mixed notations to a timestamp; month comes first where both orders fit.
 
-    Each notation is tried only on text of its shape, so most rows parse once.
+    Text without a zone is read in UTC, whatever the session's zone. Each
+    notation is tried only on text of its shape, so most rows parse once.
     """
-    text = F.trim(date.cast("string"))
-    tries = [F.when(text.rlike(_ISO_DATE), F.try_to_timestamp(text))]
-    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))) for shape, pattern in fixed.DATE_SHAPES]
-    return F.coalesce(*tries)
+    text = F.regexp_replace(F.trim(date.cast("string")), _WEEKDAY, "")
+    zoned = text.rlike(_ZONE)
+    # the zone, and what a shorter notation lacks
+    dashes = F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit("")))
+    with_clock = F.coalesce(*[F.try_to_timestamp(F.concat(text, F.lit(e))) for e in ("Z", ":00Z", ":00:00Z")])
+    ending = F.when(dashes == 0, F.lit("-01-01 00:00:00Z")).when(dashes == 1, F.lit("-01 00:00:00Z")).otherwise(F.lit(" 00:00:00Z"))
+    completed = F.when(text.rlike(r"[ T]\d"), with_clock).otherwise(F.try_to_timestamp(F.concat(text, ending)))
+    tries = [F.when(text.rlike(_ISO_DATE), F.when(zoned, F.try_to_timestamp(text)).otherwise(completed))]
+    in_utc = F.concat(text, F.lit(" UTC"))
+    tries += [F.when(text.rlike(shape), F.try_to_timestamp(in_utc, F.lit(f"{pattern} VV"))) for shape, pattern in fixed.DATE_SHAPES]
+    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))) for shape, pattern in fixed.ZONED_DATE_SHAPES]
+    return F.when(F.typeof(date) == "timestamp", date.try_cast("timestamp")).otherwise(F.coalesce(*tries))
 
 
 def review_id(row_no: Column) -> Column:

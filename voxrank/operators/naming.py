@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
+from voxrank.operators.responses import strict_json
 from voxrank.session import materialise
 
 
@@ -19,7 +20,7 @@ def lexicon_names(
     carries one partial sum per task and topic. Ties go to the label listed
     first; an occurrence spanning two reviews is not counted.
     """
-    folded = tx.fold_case(F.col(text))
+    folded = F.translate(tx.fold_case(F.col(text)), "ς", "σ")  # as casefold does to the terms
     labels = list(lexicon)
     counts = []
     for label in labels:
@@ -33,7 +34,7 @@ def lexicon_names(
 
 
 def _best(totals: DataFrame, labels: list[str]) -> Column:
-    highest = F.greatest(*[F.col(f"n{i}") for i in range(len(labels))])
+    highest = F.array_max(F.array(*[F.col(f"n{i}") for i in range(len(labels))]))
     name = F.when(F.col("topic_id") == fixed.OUTLIER_TOPIC, fixed.OUTLIER_LABEL).when(highest == 0, fixed.UNNAMED_LABEL)
     for i, label in enumerate(labels):
         name = name.when(F.col(f"n{i}") == highest, label)
@@ -59,7 +60,7 @@ def check_proposed_labels(proposals: DataFrame, topics: DataFrame) -> DataFrame:
             F.lit(False),
         )
 
-    fields = F.try_variant_get(F.try_parse_json("content"), "$", "map<string,variant>")
+    fields = F.try_variant_get(strict_json(F.col("content")), "$", "map<string,variant>")
     text = F.transform_values(
         F.col("fields"), lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PythonException
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def analyze_sentiment(
             return materialise(from_model(reviews, load_model, class_names), "sentiment"), {
                 "method": "Text model", "warnings": warnings,
             }
-        except Exception as error:
+        except (LookupError, ValueError, PythonException) as error:  # the model's own; a failed job of Spark's is raised
             warnings.append(f"Text sentiment unavailable ({type(error).__name__}); using ratings where valid.")
     return from_rating(reviews), {
         "method": "Rating proxy (missing/ambiguous ratings = Unknown)", "warnings": warnings,

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import PythonException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,8 @@ def embed(reviews: DataFrame, load_model: Callable[[], Callable], text: str = "t
 
 
 def kmeans(
-    vectors: DataFrame, k: int, seed: int = fixed.CLUSTER_SEED, restarts: int = fixed.CLUSTER_RESTARTS
+    vectors: DataFrame, k: int, seed: int = fixed.CLUSTER_SEED, restarts: int = fixed.CLUSTER_RESTARTS,
+    iterations: int = fixed.CLUSTER_ITERATIONS,
 ) -> DataFrame:
     """(row_no, topic_id) of the cheapest of several seeded runs over ``features``.
 
@@ -60,7 +62,7 @@ def kmeans(
     try:
         best = None
         for run in range(restarts):
-            model = KMeans(k=k, seed=seed + run, featuresCol="features", predictionCol="topic_id").fit(held)
+            model = KMeans(k=k, seed=seed + run, maxIter=iterations, featuresCol="features", predictionCol="topic_id").fit(held)
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
         return materialise(best.transform(held).select("row_no", "topic_id"), "kmeans")
@@ -79,11 +81,14 @@ def discover_topics(
     reviews: DataFrame, mode: str = "auto", load_embedding_model: Callable[[], Callable] | None = None,
     embedding: str | None = None, stop_words: Sequence[str] | None = None,
     sentences: Sequence[str] = fixed.CONTEXT_SENTENCES, restarts: int = fixed.CLUSTER_RESTARTS,
+    clusters: int | None = None, smallest_topic: int | None = None,
 ) -> Topics:
     """Topics by density (``auto``), k-means on embeddings, or k-means on words.
 
     Embeddings come from the caller's model or from a column. Every step down
-    is recorded as a warning. Keywords always use the words.
+    is recorded as a warning. Keywords always use the words. ``clusters`` and
+    ``smallest_topic`` set the number of k-means topics and the least size of a
+    density topic; by default both follow the number of rows.
     """
     spaced = materialise(reviews.withColumn("topic_text", tx.topic_text(F.col("review_text"), sentences)), "topic_text")
     rows, distinct = _sizes(spaced)
@@ -94,14 +99,14 @@ def discover_topics(
     embedded = _embeddings(spaced, mode, load_embedding_model, embedding, warnings)
     assigned, method = None, "TF-IDF + KMeans (lexical fallback)"
     if embedded is not None and mode == "auto" and rows >= fixed.DENSITY_MINIMUM_ROWS:
-        assigned = density.density_topics(embedded, density.minimum_topic_size(rows))
+        assigned = density.density_topics(embedded, smallest_topic or density.minimum_topic_size(rows))
         if assigned.where("topic_id <> -1").select("topic_id").distinct().limit(2).count() < 2:
             assigned = None
             warnings.append("Density topics unavailable or degenerate; using embedding KMeans.")
         else:
             method = "Embeddings + density topics"
     if assigned is None:
-        k = cluster_count(rows, distinct)
+        k = clusters or cluster_count(rows, distinct)
         vectors = words.vectors if embedded is None else embedded.select("row_no", array_to_vector("embedding").alias("features"))
         assigned = kmeans(vectors, k, restarts=restarts)
         if embedded is not None:
@@ -124,7 +129,7 @@ def _embeddings(spaced, mode, load_model, column, warnings) -> DataFrame | None:
         else:
             raise LookupError("no embedding model")
         return materialise(source, "embeddings")
-    except Exception as error:
+    except (LookupError, PythonException) as error:  # the model's own; a failed job of Spark's is raised
         warnings.append(f"Semantic model unavailable ({type(error).__name__}); using lexical TF-IDF.")
         return None
 

@@ -39,9 +39,15 @@ def trend_label(change: Column, threshold: float = fixed.TREND_THRESHOLD_POINTS)
 
 
 def iso_instant(moment: Column) -> Column:
-    micros = F.unix_micros(moment) % 1000000
+    """ISO text of an instant in UTC, whatever the session's zone: built from its microseconds since 1970."""
+    total = F.unix_micros(moment)
+    micros = F.pmod(total, F.lit(1000000))
+    second = F.floor(total / 1000000)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86400).cast("int"))
+    in_day = F.pmod(second, F.lit(86400)).cast("int")
+    clock = F.format_string("T%02d:%02d:%02d", F.floor(in_day / 3600), F.floor(in_day % 3600 / 60), in_day % 60)
     fraction = F.when(micros != 0, F.format_string(".%06d", micros)).otherwise("")
-    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+    return F.concat(day.cast("string"), clock, fraction, F.lit("+00:00"))
 
 
 def analyze_trends(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:

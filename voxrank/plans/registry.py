@@ -318,7 +318,7 @@ def cluster_policy(spark, sf):
 @query
 def kmeans_word_topics(spark, sf):
     found = topics.discover_topics(_spaced(spark, sf).drop("topic_id", "topic", "topic_text"), "offline",
-                                   stop_words=STOP_WORDS, sentences=SENTENCES, restarts=2)
+                                   stop_words=STOP_WORDS, sentences=SENTENCES)
     return found.topics.join(found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews")), "topic_id")
 
 
@@ -331,13 +331,13 @@ def _embedded_documents(spark, sf) -> DataFrame:
 
 @query
 def kmeans_embedding_topics(spark, sf):
-    found = topics.discover_topics(_embedded_documents(spark, sf), "kmeans", embedding="embedding", stop_words=STOP_WORDS, restarts=2)
+    found = topics.discover_topics(_embedded_documents(spark, sf), "kmeans", embedding="embedding", stop_words=STOP_WORDS)
     return found.topics.join(found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews")), "topic_id")
 
 
 @query
 def density_embedding_topics(spark, sf):
-    found = topics.discover_topics(_embedded_documents(spark, sf), "auto", embedding="embedding", stop_words=STOP_WORDS, restarts=2)
+    found = topics.discover_topics(_embedded_documents(spark, sf), "auto", embedding="embedding", stop_words=STOP_WORDS)
     return found.topics.join(found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews")), "topic_id")
 
 

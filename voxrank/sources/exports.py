@@ -45,7 +45,14 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     Row count and the sum of the leading 60 bits of each row's SHA-256; a
     column's presence marker keeps null and empty text apart.
     """
-    cells = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in sorted(df.columns)]
+    kinds = dict(df.dtypes)
+
+    def plain(name: str):
+        # an instant is hashed as its microseconds: its text depends on the session's zone
+        value = F.col(f"`{name}`")
+        return F.unix_micros(value) if kinds[name] == "timestamp" else value
+
+    cells = [F.coalesce(F.concat(F.lit("="), plain(c).cast("string")), F.lit("-")) for c in sorted(df.columns)]
     digest = F.sha2(F.concat_ws("\x1f", *cells), 256)
     leading = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(leading), F.lit(0)).cast("string").alias("hash_sum"))

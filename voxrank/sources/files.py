@@ -43,23 +43,27 @@ def blanks_kept(df: DataFrame) -> DataFrame:
 def with_row_numbers(scan: DataFrame, name: str = "row_no") -> DataFrame:
     """Add 0-based row numbers in (file path, position) order to a file scan.
 
-    Only one row per input block passes through a single task: blocks are
-    counted, the counts become running offsets, and each row adds its position
-    inside its block. The offsets are broadcast up to a counted size, so the
-    rows themselves are not shuffled. Must be applied directly to a scan.
+    The scan is written once with each row's file, block and place, because a
+    second scan may cut the files into other blocks. Only one row per input
+    block passes through a single task: blocks are counted, the counts become
+    running offsets, and each row adds its position inside its block. The
+    offsets are broadcast up to a counted size, so the rows themselves are not
+    shuffled; a row without an offset fails the job. Must be applied directly
+    to a scan.
     """
-    located = scan.select(
+    located = materialise(scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seen"),
-    )
+    ), "upload")
     blocks = located.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_seen").alias("_first"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    lost = F.raise_error(F.concat(F.lit("No row offset for a block of "), F.col("_file"))).cast("long")
     return (
-        located.join(counted_broadcast(materialise(offsets, "blocks"), _MOST_BLOCKS), ["_file", "_block"])
-        .withColumn(name, F.col("_offset") + F.col("_seen") - F.col("_first"))
+        located.join(counted_broadcast(materialise(offsets, "blocks"), _MOST_BLOCKS), ["_file", "_block"], "left")
+        .withColumn(name, F.coalesce("_offset", lost) + F.col("_seen") - F.col("_first"))
         .drop("_file", "_block", "_seen", "_first", "_offset")
     )
 
