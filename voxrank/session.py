@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,17 @@ def build_session(app_name: str = "voxrank", cores: int | str = "*", **settings:
     return spark
 
 
+def import_on_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package, from whatever folder the session was started.
+
+    A cluster ships the package its own way; there the extra path does nothing.
+    """
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
