@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxrank.llm import chosen_path, latent_decontam, line_suffixes, piece_lattice, quality_rules
-from voxrank.session import materialise
+from voxrank.session import import_on_workers, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

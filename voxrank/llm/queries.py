@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, line_suffixes, piece_lattice, quality_rules, string_kernel, token_rollup
 from voxrank.llm.check_sql import CHECKS  # noqa: F401
-from voxrank.session import scratch_folder
+from voxrank.session import import_on_workers, scratch_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    import_on_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -15,8 +15,8 @@ sentence has none), through a logistic curve fitted to labelled texts.
 Training uses at most ``sample`` labelled texts, taken by a hash of doc_id; their
 sentences carry the text's label. Witness units of the toxic sentences are those
 whose toxic share is significant; units of clean sentences are negative. Further rounds
-add the clean units that the last model scores highest, as landmarks too, and as
-witnesses the units of toxic sentences alone that it scores as toxic.
+add the clean units that the last model scores highest and the toxic units that it
+scores lowest, as landmarks too, and as witnesses the units of toxic sentences alone that it scores as toxic.
 
 Defined cases: a null or empty text, or one without letters, scores as the emptiest
 unit does (near 0); rows without a doc_id take no part in training; a doc_id with
@@ -163,6 +163,13 @@ class Model:
                 out[part] += self.table[codes] @ weight.astype(np.float32)
         return out
 
+    def spelled_scores(self, units: list[bytes]) -> np.ndarray:
+        out = np.full(len(units), self.bias)
+        for here, letters in _words([u[:WINDOW] for u in units]):  # no unit is longer
+            codes, weight = _codes(letters)
+            out[here] += self.table[codes] @ weight
+        return out
+
     def text_scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         units = units_of(data, offsets)
         best = np.full(len(offsets) - 1, self.bias, np.float32)
@@ -195,9 +202,9 @@ def kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
     dense[0] = 0
     out = np.zeros((len(left), len(right)))
     for here, letters in _words(left):
-        for at in range(0, len(here), 500):
-            codes, weight = _codes(letters[at : at + 500])
-            out[here[at : at + 500]] = np.einsum("bml,m->bl", dense[vocabulary[codes]], weight.astype(np.float32), optimize=True)
+        for at in range(0, len(here), 200):
+            codes, weight = _codes(letters[at : at + 200])
+            out[here[at : at + 200]] = np.einsum("bml,m->bl", dense[vocabulary[codes]], weight.astype(np.float32), optimize=True)
     return out
 
 
@@ -302,7 +309,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     other = clean.orderBy(F.xxhash64("unit"), "unit").limit(MOST_UNITS // 2).collect()
     clean_counts = {bytes(r.unit): r.n for r in [*common, *other]}
     toxic_counts = {bytes(r.unit): r.n for r in positive}
-    marks = _spread(list(toxic_counts), LANDMARKS // 2) + _spread(list(clean_counts), LANDMARKS // 2)
+    # the strongest units, and some of every strength
+    quarter = LANDMARKS // 4
+    marks = [*_spread(list(toxic_counts), quarter), *list(toxic_counts)[:quarter], *_spread(list(clean_counts), 2 * quarter)]
+    marks = list(dict.fromkeys(marks))
     for turn in range(ROUNDS):
         counts_of = {**toxic_counts, **clean_counts}
         units = list(counts_of)
@@ -316,7 +326,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         hard = {bytes(r.unit): r.n for r in seeming.limit(MOST_UNITS // 2).collect()}
         toxic_counts |= {bytes(r.unit): r.n for r in toxic_only.limit(MOST_UNITS // 2).collect()}
         clean_counts |= hard
-        marks = list(dict.fromkeys([*marks, *list(hard)[: LANDMARKS // ROUNDS]]))
+        known = list(toxic_counts)
+        missed = [known[i] for i in np.argsort(model.spelled_scores(known), kind="stable")[: LANDMARKS // 2]]
+        marks = list(dict.fromkeys([*marks, *list(hard)[: LANDMARKS // ROUNDS], *missed]))
     sent_model = spark.sparkContext.broadcast(model)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,12 +346,7 @@ def _rescored(units: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def score_of(units: pd.Series) -> pd.Series:
-        spelled = [bytes(u)[:WINDOW] for u in units]  # no unit is longer
-        out = np.full(len(spelled), sent.value.bias)
-        for here, letters in _words(spelled):
-            codes, weight = _codes(letters)
-            out[here] += sent.value.table[codes] @ weight
-        return pd.Series(out)
+        return pd.Series(sent.value.spelled_scores([bytes(u) for u in units]))
 
     return units.withColumn("score", score_of("unit"))
 
