@@ -197,7 +197,7 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class _Known:
     """Best segmentations of the units seen so far, by hash; forgotten when there are too many."""
 
-    most = 250_000
+    most = 100_000
 
     def __init__(self) -> None:
         self.clear()
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str = MODEL_PATH,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, listed, known = pieces.value, {}, _Known()
-        for rows, data, offsets in tb.chunks(batches, 2 << 20):
+        for rows, data, offsets in tb.chunks(batches, 1 << 20):
             null = np.array(rows.column("text").is_null())
             # the encoder sees a space before each text that is not empty
             sizes = np.diff(offsets)
