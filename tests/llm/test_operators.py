@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,6 +339,41 @@ def test_split_keeps_near_sets_together():
     assert len(full) == 2999
 
 
+def test_groups_are_never_cut(monkeypatch):
+    monkeypatch.setattr(chosen_path, "WINDOW", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array([b] * 90), pa.array(range(90))], names=["bucket", "set_id"]) for b in (1, 2, 2, 2, 3)]
+    got = [set(x.column("bucket").to_pylist()) for x in chosen_path.groups(iter(batches), ["bucket"])]
+    assert [len([g for g in got if b in g]) for b in (1, 2, 3)] == [1, 1, 1]
+
+
+def test_hot_buckets_are_dealt_again_and_compared_in_blocks(spark, monkeypatch):
+    """600 sets, half of them near copies of the others, agree at all places sampled first and some more."""
+    r = np.random.default_rng(3)
+    tokens = r.integers(0, 2**16, (600, chosen_path.TOKENS)).astype(np.uint16)
+    for k in range(300):
+        same = r.random(chosen_path.TOKENS) < 0.9
+        tokens[300 + k, same] = tokens[k, same]
+    places = chosen_path.sampled_places(0.8, 10, 1)
+    tokens[:, list(dict.fromkeys([p for _, p in places] + list(range(chosen_path.TOKENS))))[:30]] = 7
+    monkeypatch.setattr(chosen_path, "WINDOW", 40)
+    monkeypatch.setattr(chosen_path, "BRUTE", 16)
+    sets = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(tokens)], "set_id long, tokens binary")
+    assert len(chosen_path.hot_buckets(sets, places, 0.8, 40)) == chosen_path.DEPTH
+    edges = [(x.u, x.v) for x in chosen_path.candidates(sets, 0.8, 10).collect()]
+    label = chosen_path._spanning(600, *np.array(edges).T)
+    alike = [(i, j) for i, j in itertools.combinations(range(600), 2) if (tokens[i] == tokens[j]).sum() >= 0.6 * chosen_path.TOKENS]
+    assert len(alike) == 300 and all(label[i] == label[j] for i, j in alike)
+    assert len(set(label)) == 300
+
+
+def test_blocks_meet_every_pair():
+    r = np.random.default_rng(4)
+    tokens = r.integers(0, 2**16, (200, chosen_path.TOKENS)).astype(np.uint16)
+    tokens[100:] = tokens[r.permutation(100)]
+    forest = chosen_path._across(tokens, np.arange(100), np.arange(100, 200))
+    assert sorted(forest) == sorted((i, 100 + j) for i in range(100) for j in range(100) if (tokens[i] == tokens[100 + j]).all())
+
+
 # op 7
 
 def test_chats(spark):

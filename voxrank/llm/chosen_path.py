@@ -6,7 +6,9 @@
    In every run a few token places are sampled, on average 1 / threshold of them, and
    sets with the same token at a sampled place go to one bucket. A bucket of more than
    ``BRUTE`` sets is split again on freshly sampled tokens, to ``DEPTH`` levels; what
-   remains is compared by brute force on the tokens, whatever its size. A pair at the
+   remains is compared by brute force on the tokens, whatever its size. Buckets of more
+   than ``WINDOW`` sets are counted first and dealt again in Spark, level by level; those
+   still as large at the last level are compared as pairs of blocks. A pair at the
    threshold survives a run with chance threshold**DEPTH at least, and the runs are
    repeated until the chance to miss it in all of them is below 1 - recall.
    Of the pairs found in a bucket only a spanning forest is kept.
@@ -19,8 +21,9 @@ without words (null, empty) are copies of each other; a class has the least doc_
 among its texts; repeated rows are copies; further columns are ignored; an empty table
 gives an empty result. Equal 64-bit hashes count as equal windows.
 
-The sets of one bucket stand in one task (TOKENS * 2 bytes each, at most ``WINDOW`` at a
-time); copies do not add to it.
+The sets of one bucket, or of one pair of its blocks, stand in one task: about ``WINDOW``
+at most, TOKENS * 2 bytes each; copies do not add to them. The driver holds the keys of
+the buckets above ``WINDOW``.
 """
 
 from __future__ import annotations
@@ -108,13 +111,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str], bounded: bool = True) -> Iterator[pa.RecordBatch]:
-    """Batches of rows sorted by ``keys``, cut again so that no group is spread over two.
-
-    ``bounded``: a group of more than WINDOW rows comes in parts, each with the row before it.
-    """
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by ``keys``, cut again so that no group is spread over two."""
     held: list[pa.RecordBatch] = []
-    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -126,15 +125,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str], bounded: bool = T
         last = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
         if held and not same:
             yield _joined(held)
-            held, count = [], 0
+            held = []
         if last:
             yield _joined([*held, batch.slice(0, last)])
-            held, count = [], 0
+            held = []
         held.append(batch.slice(last))
-        count += batch.num_rows - last
-        if bounded and count > WINDOW:
-            yield _joined(held)
-            held, count = [held[-1].slice(held[-1].num_rows - 1)], 1
     if held:
         yield _joined(held)
 
@@ -175,34 +170,132 @@ def _brute(tokens: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
     return forest
 
 
-def _split(tokens: np.ndarray, members: np.ndarray, path: int, depth: int, threshold: float) -> list[tuple[int, int]]:
+def _across(tokens: np.ndarray, one: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+    """As ``_brute``, of the pairs with a set in either block."""
+    forest, rest = [], [one, other]
+    while len(rest[0]) and len(rest[1]):
+        queue, rest[0] = [(rest[0][0], 1)], rest[0][1:]
+        while queue:
+            at, facing = queue.pop()
+            hit = (tokens[rest[facing]] == tokens[at]).sum(axis=1) >= _CANDIDATE * TOKENS
+            forest += [(at, x) for x in rest[facing][hit]]
+            queue += [(x, 1 - facing) for x in rest[facing][hit]]
+            rest[facing] = rest[facing][~hit]
+    return forest
+
+
+def _fresh_places(path: int, threshold: float) -> np.ndarray:
+    random = np.random.default_rng(path)
+    places = np.flatnonzero(random.random(TOKENS) < 1 / (threshold * TOKENS))
+    return places if len(places) else random.integers(TOKENS, size=1)
+
+
+def _split(
+    tokens: np.ndarray, members: np.ndarray, path: int, depth: int, threshold: float, brute: int = BRUTE
+) -> list[tuple[int, int]]:
     if len(members) < 2:
         return []
-    if len(members) <= BRUTE or depth >= DEPTH:
+    if len(members) <= brute or depth >= DEPTH:
         return _brute(tokens, members)
-    random = np.random.default_rng(path)
-    places = np.flatnonzero(random.random(TOKENS) < 1 / (threshold * TOKENS))
     forest = []
-    for place in places if len(places) else random.integers(TOKENS, size=1):
+    for place in _fresh_places(path, threshold):
         value = tokens[members, place]
         order = np.argsort(value, kind="stable")
         for part in np.split(members[order], np.flatnonzero(np.diff(value[order])) + 1):
-            forest += _split(tokens, part, int(tb.mix(np.array([path + int(place) + 1], U))[0] >> U(1)), depth + 1, threshold)
+            forest += _split(tokens, part, int(tb.mix(np.array([path + int(place) + 1], U))[0] >> U(1)), depth + 1, threshold, brute)
     return forest
 
 
+def _path(key: int) -> int:
+    return int(key) & (2**62 - 1)
+
+
+def _dealt(
+    tokens: np.ndarray, places: list[tuple[int, int]], hot: list[np.ndarray], threshold: float
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, rows, bucket of each) at every level to len(hot) + 1; rows of the buckets ``hot[k]`` are dealt again at level k + 2."""
+    every = np.arange(len(tokens))
+    parts = ((every, tb.mix(tokens[:, p].astype(U) + U((run * TOKENS + p + 1) << 20)).view(np.int64)) for run, p in places)
+    for level in range(1, len(hot) + 2):
+        deeper = []
+        for rows, key in parts:
+            yield level, rows, key
+            if level > len(hot):
+                continue
+            for path in np.intersect1d(key, hot[level - 1]):
+                some = rows[key == path]
+                for place in _fresh_places(_path(path), threshold):
+                    base = tb.mix(np.array([_path(path) + int(place) + 1], U))
+                    deeper.append((some, tb.mix(base + tokens[some, place].astype(U)).view(np.int64)))
+        parts = deeper
+
+
+def _token_rows(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)
+
+
+def hot_buckets(sets: DataFrame, places: list[tuple[int, int]], threshold: float, window: int) -> list[dict[int, int]]:
+    """For each level that has some, its buckets of more than ``window`` sets, with their sizes."""
+    hot: list[dict[int, int]] = []
+    while len(hot) < DEPTH:
+        above = [np.array(sorted(h), np.int64) for h in hot]
+
+        def count(batches: Iterator[pa.RecordBatch], above: list[np.ndarray] = above) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                for level, _, key in _dealt(_token_rows(batch), places, above, threshold):
+                    if level > len(above):
+                        found, n = np.unique(key, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["bucket", "n"])
+
+        # 2**16 buckets at most for each place of a level and path
+        sizes = sets.select("tokens").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        large = {r.bucket: r.n for r in sizes.where(F.col("n") > window).collect()}
+        if not large:
+            break
+        hot.append(large)
+    return hot
+
+
 def candidates(sets: DataFrame, threshold: float, runs: int, seed: int = 1) -> DataFrame:
     """Edges (u, v) between set_ids that span the candidate pairs of all runs."""
     places = sampled_places(threshold, runs, seed)
+    window, brute = WINDOW, BRUTE
+    hot = hot_buckets(sets, places, threshold, window)
+    above = [np.array(sorted(h), np.int64) for h in hot]
+    last = hot[-1] if len(hot) == DEPTH else {}
+    blocks = np.array([-(-2 * last[k] // window) for k in above[-1]], np.int64) if last else None
+
+    def rows_of(batch: pa.RecordBatch, rows: np.ndarray, key: np.ndarray, level: int) -> pa.RecordBatch:
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(np.full(len(rows), level, np.int32)), batch.column("set_id").take(take),
+             batch.column("tokens").take(take)], names=["bucket", "level", "set_id", "tokens"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of buckets to compare, by level; of a block in a pair of blocks the level is -1 (the lower) or -2."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)
-            for run, place in places:
-                key = tb.mix(tokens[:, place].astype(U) + U((run * TOKENS + place + 1) << 20)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("set_id"), batch.column("tokens")], names=["bucket", "set_id", "tokens"])
+            own = tb.mix(np.asarray(batch.column("set_id")).view(U))
+            for level, rows, key in _dealt(_token_rows(batch), places, above[: DEPTH - 1], threshold):
+                if level > len(hot):
+                    yield rows_of(batch, rows, key, level)
+                    continue
+                large = np.isin(key, above[level - 1])
+                yield rows_of(batch, rows[~large], key[~large], level)
+                if level < DEPTH or not large.any():
+                    continue
+                rows, key = rows[large], key[large]
+                count = blocks[np.searchsorted(above[-1], key)]
+                block = (own[rows] % count.astype(U)).astype(np.int64)
+                for other in range(int(count.max())):
+                    some = np.flatnonzero(count > other)
+                    low, high = np.minimum(block[some], other), np.maximum(block[some], other)
+                    pair = tb.mix(key[some].view(U) + tb.mix((low << 32 | high).view(U) + U(1))).view(np.int64)
+                    for side, mine in ((-1, block[some] == low), (-2, block[some] != low)):
+                        yield rows_of(batch, rows[some[mine]], pair[mine], side)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, ["bucket"]):
@@ -212,7 +305,7 @@ def candidates(sets: DataFrame, threshold: float, runs: int, seed: int = 1) -> D
             used = np.repeat(sizes > 1, sizes)
             if not used.any():
                 continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)
+            tokens, level = _token_rows(batch), np.asarray(batch.column("level"))
             size_of = np.repeat(sizes, sizes)
             left, right = [], []
             some = np.flatnonzero(used & (size_of <= 32))
@@ -225,7 +318,14 @@ def candidates(sets: DataFrame, threshold: float, runs: int, seed: int = 1) -> D
                 left.append(one[hit])
                 right.append(one[hit] + step)
             for start, size in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-                forest = _split(tokens, np.arange(start, start + size), int(key[start]) & (2**62 - 1), 1, threshold)
+                members = np.arange(start, start + size)
+                side = level[members]
+                if (side == -2).any():
+                    forest = _across(tokens, members[side == -1], members[side == -2])
+                elif side[0] == -1:
+                    forest = _brute(tokens, members)
+                else:
+                    forest = _split(tokens, members, _path(key[start]), int(side[0]), threshold, brute)
                 if forest:
                     found = np.array(forest)
                     left.append(found[:, 0])
@@ -236,7 +336,7 @@ def candidates(sets: DataFrame, threshold: float, runs: int, seed: int = 1) -> D
             moved = np.flatnonzero(label != np.arange(len(key)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
-    dealt = sets.select("set_id", "tokens").mapInArrow(deal, "bucket long, set_id long, tokens binary")
+    dealt = sets.select("set_id", "tokens").mapInArrow(deal, "bucket long, level int, set_id long, tokens binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(pairs, "u long, v long")
 
 
@@ -318,7 +418,7 @@ def links(blocks: DataFrame, threshold: Fraction) -> DataFrame:
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, ["component", "low", "high"], bounded=False):
+        for batch in groups(batches, ["component", "low", "high"]):
             key = np.column_stack([np.asarray(batch.column(c)) for c in ("component", "low", "high")])
             edges = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
             ids, block, copies = (np.asarray(batch.column(c)) for c in ("set_id", "block", "copies"))

@@ -188,7 +188,7 @@ def repeated_runs(lines: DataFrame, ranks: DataFrame) -> DataFrame:
     chained = near.drop("prev").join(common, ["stretch", "rank"], "left")
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, ["stretch"], bounded=False):
+        for batch in groups(batches, ["stretch"]):
             key = np.asarray(batch.column("stretch"))
             edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             doc, hashed, line = (batch.column(c).to_pylist() for c in _PLACE)
