@@ -339,6 +339,20 @@ def test_split_keeps_near_sets_together():
     assert len(full) == 2999
 
 
+def test_short_pairs_at_the_threshold_are_found(spark, documents):
+    """600 pairs of 5, 10 and 20 windows in all, of which the two texts share 80 %."""
+    rows, word = [], itertools.count()
+    for k in range(600):
+        n = (5, 10, 20)[k % 3]
+        words = [f"w{next(word)}" for _ in range(n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 4 * n // 5 + 4]))]
+    expected = plain_join(rows)
+    assert all(x[2:] == (1, 1) for x in expected)
+    got = chosen_path.join(documents(rows)).collect()
+    found = {(str(x.doc_id), str(x.class_id), x.n_links, x.n_text_links) for x in got}
+    assert len(set(expected) - found) <= 4  # both rows of two pairs
+
+
 def test_groups_are_never_cut(monkeypatch):
     monkeypatch.setattr(chosen_path, "WINDOW", 100)
     batches = [pa.RecordBatch.from_arrays([pa.array([b] * 90), pa.array(range(90))], names=["bucket", "set_id"]) for b in (1, 2, 2, 2, 3)]
