@@ -156,6 +156,17 @@ def test_decontamination(spark, documents):
     assert latent_decontam.scan(documents([]), benchmark).count() == 0
 
 
+def test_latent_space_has_its_rank_and_repeats(spark):
+    """200 items of words of their own fill all dimensions."""
+    words = [tb.mix(np.arange(40 * k + 1, 40 * k + 31, dtype=np.uint64)) for k in range(200)]
+    items = latent_decontam.Items(list(range(200)), words, words)
+    sample = spark.createDataFrame([([int(f) for f in latent_decontam._feature(w)],) for w in words[:50]], "words array<int>")
+    space = latent_decontam.latent_space(sample, items, np.ones(latent_decontam.FEATURES))
+    assert space.shape == (latent_decontam.FEATURES, 192)
+    again = latent_decontam.latent_space(sample, items, np.ones(latent_decontam.FEATURES))
+    assert (space == again).all()
+
+
 def test_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(50):
