@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from voxrank.llm.chat_format import BODY, END, NEXT, START
+from voxrank.llm.hard_negatives import LEAST_PERCENT, MOST_PERCENT, NEGATIVES, POSITIVES
 from voxrank.llm.line_suffixes import MIN_WORDS as RUN_WORDS
 from voxrank.llm.quality_rules import DELTA, GRID, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, RULES
+from voxrank.llm.source_audit import LEAST_DOCUMENTS, MOST_TERMS, PRIOR, SCALE
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _CAPITALS = "[^A-ZÄÖÜÉÈÊÇÀÂÎÔÛÑÁÍÓÚ]"
@@ -137,4 +139,60 @@ SELECT d.doc_id, coalesce(removed, 0)::BIGINT AS removed_lines,
 FROM documents d LEFT JOIN texts USING (doc_id)
 """
 
-CHECKS = {"op5_quality_rules": QUALITY, "op6_chosen_path": JACCARD, "op7_chat_format": CHAT, "op10_line_suffixes": LINES}
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+AUDIT = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+said AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, {_FOLD}), '{_TERM}')) AS term FROM docs),
+kept AS (SELECT lang, term FROM said GROUP BY ALL HAVING count(DISTINCT row) >= {LEAST_DOCUMENTS}),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS n_all
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN vocabulary USING (lang) LEFT JOIN counted USING (lang, source) GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + ({SCALE}::HUGEINT * (coalesce(c.n, 0) + {PRIOR})) // (n_all + {PRIOR} * v)::HUGEINT AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + ({SCALE}::HUGEINT * (n + {PRIOR})) // (sum(n) OVER (PARTITION BY lang) + {PRIOR} * v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL) JOIN vocabulary USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS value
+    FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) d
+  ON d.lang = a.lang AND d.s = a.source AND d.t = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {MOST_TERMS}
+"""
+
+NEGATIVES_SQL = f"""
+WITH usable AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {POSITIVES})
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND {LEAST_PERCENT} * positive_score <= 100 * score AND 100 * score <= {MOST_PERCENT} * positive_score
+QUALIFY rank <= {NEGATIVES}
+"""
+
+CHECKS = {
+    "op5_quality_rules": QUALITY, "op6_chosen_path": JACCARD, "op7_chat_format": CHAT, "op10_line_suffixes": LINES,
+    "op12_source_audit": AUDIT, "op13_hard_negatives": NEGATIVES_SQL,
+}

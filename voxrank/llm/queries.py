@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxrank.llm import chat_format, chosen_path, importance_sampling, kd_shards, latent_decontam, line_suffixes, piece_lattice, quality_rules, string_kernel, token_rollup
+from voxrank.llm import (
+    chat_format, chosen_path, hard_negatives, importance_sampling, kd_shards, latent_decontam, line_suffixes,
+    piece_lattice, quality_rules, source_audit, source_mixing, string_kernel, token_rollup,
+)
 from voxrank.llm.check_sql import CHECKS  # noqa: F401
 from voxrank.session import import_on_workers, scratch_folder
 
@@ -107,10 +110,25 @@ def op10_line_suffixes(spark: SparkSession, folder: str) -> DataFrame:
         F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_entropy_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mixing.balance(_table(spark, folder, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(_table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings")
+    moved = rows.withColumn("label", hard_negatives.relabelled(F.col("label"), F.col("vec_id")))
+    return hard_negatives.Miner(hard_negatives.whole_vectors(moved)).mine()
+
+
 QUERIES = {
     "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op3_latent_decontam": op3_latent_decontam,
     "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
     "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
     "op9_token_rollup": op9_token_rollup, "op10_line_suffixes": op10_line_suffixes,
+    "op11_entropy_mix": op11_entropy_mix, "op12_source_audit": op12_source_audit, "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
