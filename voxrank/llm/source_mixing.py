@@ -11,8 +11,7 @@ Documents of one source and size share their rate, so the texts are read once an
 into classes (source, size, n); a Newton pass is one aggregate over the classes, in whole
 thousandths of a word, so neither the order of rows nor reruns change it. Rates become
 copies by systematic rounding along the sizes of a source, which leaves less than one
-document's words of error; single copies are then moved while that brings a source nearer
-its target. A class deals its copies by hash, in buckets of bounded size, so neither a hot
+document's words of error; that is then made up by single copies of documents that fit into it. A class deals its copies by hash, in buckets of bounded size, so neither a hot
 source nor a text that fills a third of the table stands in one task. One row a source,
 and the different sizes of one source (at most its longest text's words), stand in one task.
 
@@ -24,16 +23,16 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxrank.operators.skew import counted_broadcast, join_by_frequency
+from voxrank.operators.skew import HEAVY_KEYS, join_by_frequency
 from voxrank.session import materialise
 
 WEIGHTS, BUDGET, MOST = (3, 1, 2), 1.5, 2
-#: Newton passes at most, the relative error that ends them, and the moves of single copies at most.
+#: Newton passes at most, the relative error that ends them, and the passes that even out what rounding left at most.
 PASSES, CLOSE, MOVES = 60, 1e-7, 8
 _WORD = r"[^\x20\x09-\x0D]+"
 _UNIT = 1 << 20  # rates are rounded in these parts of a copy
@@ -70,6 +69,12 @@ def _rate(most: int) -> Column:
     return F.when(F.col("full"), F.lit(float(most))).otherwise(F.coalesce(tilt, F.lit(1.0)))
 
 
+def _beside(sources: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Marks tables with at most a row a source for broadcast if ``sources`` has few enough rows; counted once."""
+    few = sources.limit(HEAVY_KEYS + 1).count() <= HEAVY_KEYS
+    return F.broadcast if few else lambda df: df
+
+
 def solve(classes: DataFrame, sources: DataFrame, most: int = MOST, passes: int = PASSES, close: float = CLOSE) -> DataFrame:
     """``sources`` (key, source_size, n_docs, target) with each one's ``multiplier``, ``mean`` and ``full``.
 
@@ -83,12 +88,13 @@ def solve(classes: DataFrame, sources: DataFrame, most: int = MOST, passes: int
         "full": F.col("target") >= F.col("source_size") * F.lit(float(most)),
         "multiplier": F.lit(0.0), "low": none, "high": none, "done": F.col("source_size") == 0,
     }).withColumn("done", F.col("done") | F.col("full")), "mix-state")
+    beside = _beside(sources)
     words = F.col("n") * F.col("size") * F.col("rate")
     below = F.col("rate") < float(most)
     for _ in range(passes):
         if state.where(~F.col("done")).isEmpty():
             break
-        at = classes.join(counted_broadcast(state.where(~F.col("done"))), "key").withColumn("rate", _rate(most))
+        at = classes.join(beside(state.where(~F.col("done"))), "key").withColumn("rate", _rate(most))
         sums = at.groupBy("key").agg(
             F.sum(F.round(words * 1000).cast("long")).alias("words"),
             F.sum(F.when(below, F.round(words * F.col("size") / F.col("mean") * 1000).cast("long"))).alias("slope"))
@@ -100,7 +106,7 @@ def solve(classes: DataFrame, sources: DataFrame, most: int = MOST, passes: int
         step = F.when((newton > F.coalesce("low_", now - reach)) & (newton < F.coalesce("high_", now + reach)), newton).otherwise(
             (F.coalesce("low_", now - reach) + F.coalesce("high_", now + reach)) / 2)
         near = F.abs(error) <= F.col("target") * close
-        moved = state.join(counted_broadcast(sums), "key", "left").withColumns({
+        moved = state.join(beside(sums), "key", "left").withColumns({
             "low_": F.when(F.col("done"), F.col("low")).otherwise(low), "high_": F.when(F.col("done"), F.col("high")).otherwise(high)})
         moved = moved.withColumn("next", F.when(F.col("done") | near, now).otherwise(step))
         state = materialise(moved.select(
@@ -110,27 +116,31 @@ def solve(classes: DataFrame, sources: DataFrame, most: int = MOST, passes: int
 
 
 def _copies(classes: DataFrame, solved: DataFrame, most: int, moves: int) -> DataFrame:
-    """``classes`` with ``copies``, the copies that all their documents take together, and ``rate``."""
-    rated = classes.join(counted_broadcast(solved), "key").withColumn("rate", _rate(most))
+    """``classes`` with ``copies``, the copies that all their documents take together, ``rate``, ``source_size`` and ``target``."""
+    beside = _beside(solved)
+    rated = classes.join(beside(solved), "key").withColumn("rate", _rate(most))
     parts = rated.withColumn("parts", F.round(F.col("n") * F.col("rate") * _UNIT).cast("long"))
     upto = F.sum("parts").over(Window.partitionBy("key").orderBy("size")) + _UNIT // 2
     whole = lambda x: F.shiftright(x, 20)  # noqa: E731  the copies in a number of parts
     dealt = parts.withColumn("upto", upto).withColumn("copies", whole(F.col("upto")) - whole(F.col("upto") - F.col("parts")))
-    now = materialise(dealt.select(*classes.columns, "rate", "target", "copies"), "mix-copies")
+    now = materialise(dealt.select(*classes.columns, "rate", "source_size", "target", "copies"), "mix-copies")
+    # what a source lacks, or has too much, is made up from its longest documents that fit into it, then from shorter ones
+    falling = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(moves):
         missing = now.groupBy("key").agg(
             (F.round(F.max("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
-        room = F.when(F.col("missing") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("missing")) & (F.col("room") > 0)
-        chosen = now.join(counted_broadcast(missing.where("missing <> 0")), "key").withColumn("room", room).where(fits)
-        chosen = chosen.groupBy("key").agg(F.max_by(F.struct("size", "room", "missing"), "size").alias("c")).select("key", "c.*")
-        count = F.least("room", F.expr("abs(missing) div size"))
-        chosen = materialise(chosen.select("key", "size", (F.signum("missing").cast("long") * count).alias("more")), "mix-move")
-        if chosen.isEmpty():
+        at = now.join(beside(missing), "key")
+        gap = F.abs("missing")
+        fits = (F.col("size") > 0) & (F.col("size") <= gap)
+        room = F.when(fits, F.when(F.col("missing") > 0, most * F.col("n") - F.col("copies")).otherwise(F.col("copies"))).otherwise(0)
+        at = at.withColumn("room", room).withColumn("before", F.coalesce(F.sum(F.col("room") * F.col("size")).over(falling), F.lit(0)))
+        count = F.when(F.col("room") > 0, F.greatest(F.lit(0), F.least("room", F.expr("(abs(missing) - before) div size")))).otherwise(0)
+        more = F.signum("missing").cast("long") * count
+        moved = at.withColumn("moved", F.coalesce(more, F.lit(0)))
+        now = materialise(moved.withColumn("copies", F.col("copies") + F.col("moved")).select(*now.columns[:7], "moved"), "mix-copies")
+        if now.where("moved <> 0").isEmpty():
             break
-        more = F.col("copies") + F.coalesce("more", F.lit(0))
-        now = materialise(now.join(counted_broadcast(chosen), ["key", "size"], "left").withColumn("copies", more).drop("more"), "mix-copies")
-    return now
+    return now.drop("moved")
 
 
 def balance(
@@ -144,8 +154,6 @@ def balance(
     named = named.withColumn("source", F.when(F.col("key") != "n", F.substring("key", 2, 2**31 - 1)))
     sources = materialise(targets(named, weights, budget, most).select("key", "source_size", "n_docs", "target"), "mix-targets")
     given = _copies(classes, solve(classes, sources, most), most, moves)
-    given = materialise(
-        given.drop("target").join(counted_broadcast(sources.select("key", "source_size", "target")), "key"), "mix-classes")
 
     # equal rows are one unit; the units of a class stand in buckets of a hash, in order of the hash
     units = rows.groupBy("doc_id", "key", "size").agg(F.count(F.lit(1)).alias("rows"))
