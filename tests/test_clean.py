@@ -103,6 +103,14 @@ NOTATIONS = {
     "1/5/2024 3:04 PM": "2024-01-05T15:04:00+00:00", "2024-01-05": "2024-01-05T00:00:00+00:00", "2024-01": "2024-01-01T00:00:00+00:00",
     "2024": "2024-01-01T00:00:00+00:00", "2024-01-05 10:00": "2024-01-05T10:00:00+00:00",
     "2024-01-05T10:00:00.5+02:00": "2024-01-05T08:00:00.500000+00:00", "13/1/2024": "2024-01-13T00:00:00+00:00",
+    "January 5, 2024 3:04 PM": "2024-01-05T15:04:00+00:00", "Jan 5, 2024 10:00": "2024-01-05T10:00:00+00:00",
+    "05-Jan-24": "2024-01-05T00:00:00+00:00", "2024/01/05 10:00:00": "2024-01-05T10:00:00+00:00",
+    "20240105T100000": "2024-01-05T10:00:00+00:00", "2024-01-05 3:04 PM": "2024-01-05T15:04:00+00:00",
+    "Fri Jan  5 10:00:00 2024": "2024-01-05T10:00:00+00:00", "2024-01-05 10:00:00 EST": "2024-01-05T15:00:00+00:00",
+    "jan 5 2024": "2024-01-05T00:00:00+00:00", "5th January 2024": "2024-01-05T00:00:00+00:00", "1/5/99": "1999-01-05T00:00:00+00:00",
+    "Fri, 05 Jan 2024 10:00:00 +0130": "2024-01-05T08:30:00+00:00", "12/31/2024 12:05 am": "2024-12-31T00:05:00+00:00",
+    "2024-01-05 10:00:00 Europe/Paris": "2024-01-05T09:00:00+00:00", "2024-01-05T10:00-8": "2024-01-05T18:00:00+00:00",
+    "2024-02-30": None, "5 Janvier 2024": None, "13:00": None, "2024-01-05 25:00": None, "99/99/2024": None, "": None, "2024-01-05 13:00 pm": None,
     "2024-03-10 02:30:00": "2024-03-10T02:30:00+00:00", "1969-12-31 23:59:59.25": "1969-12-31T23:59:59.250000+00:00", "soon": None,
 }
 

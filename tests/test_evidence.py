@@ -167,7 +167,17 @@ CASES = {
     "four ids": (json.dumps(written(evidence_review_ids=["R000003", "R000001", "R000002", "R000007"])), False, "citations"),
     "number id": (json.dumps(written(evidence_review_ids=[3])), False, "citations"),
     "missing": (None, False, "not valid JSON"),
+    "a number": ("5", False, "response fields"),
+    "null": ("null", False, "response fields"),
+    "a text": ('"abc"', False, "response fields"),
+    "listed body": ("[" + json.dumps(written()) + "]", False, "response fields"),
+    "nested topic": (json.dumps(written(topic_id=[0])), False, "category or topic"),
+    "nested category": (json.dumps(written(category={"a": 1})), False, "category or topic"),
+    "nested topic of unknown category": (json.dumps(written(category="Sales", topic_id=[0])), False, "category or topic"),
+    "nested id": (json.dumps(written(evidence_review_ids=[["R000003"]])), False, "citations"),
+    "four nested ids": (json.dumps(written(evidence_review_ids=[["R000003"]] * 4)), False, "citations"),
 }
+TYPE_ERRORS = {"a number", "null", "listed body", "nested topic", "nested category", "nested id"}
 
 
 def test_responses(spark, story):
@@ -178,6 +188,8 @@ def test_responses(spark, story):
     for name, (_, accepted, reason) in CASES.items():
         assert checks[name].accepted == accepted, (name, checks[name].reason)
         assert reason in (checks[name].reason or ""), (name, checks[name].reason)
+        kind = "JSONDecodeError" if name in ("not json", "trailing text", "trailing bracket", "trailing brace", "missing") else "ValueError"
+        assert checks[name].error == (None if accepted else "TypeError" if name in TYPE_ERRORS else kind), name
     kept = responses.accepted_insights(parsed, pool, scores).collect()
     assert {r.response_id for r in kept} == {k for k, v in CASES.items() if v[1]}
     one = sorted((r for r in kept if r.response_id == "plain"), key=lambda r: r.insight_id)
@@ -187,4 +199,5 @@ def test_responses(spark, story):
     assert chosen["plain"].summary == SUMMARY and chosen["plain"].warning is None and chosen["plain"].method.startswith("LLM")
     assert "(ValueError)" in chosen["unknown id"].warning and chosen["unknown id"].method.startswith("Deterministic")
     assert "(JSONDecodeError)" in chosen["not json"].warning
+    assert "(TypeError)" in chosen["nested topic"].warning
     assert chosen["missing"].warning.startswith("No API key")

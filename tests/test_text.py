@@ -13,7 +13,7 @@ from voxrank.functions import numbers, text as tx
 
 SAMPLES = [
     " Good! ", "good!", "a b  c\t\nd", "Ｆｕｌｌ ｗｉｄｔｈ", "ﬁne ½ ² ℌ", "Straße", "STRASSE ẞ", "İstanbul ſ K", "été",
-    "x\x1cy\x1fz\x85w", "漢字 仮名", "", "   ", "123 !!", "ŉ µ ŀ ĳ", "naïve café", "Ωμέγα ΣΑΣ", " em line",
+    "x\x1cy\x1fz\x85w", "漢字 仮名", "", "   ", "123 !!", "ŉ µ ŀ ĳ", "naïve café", "Ωμέγα ΣΑΣ", "ΟΔΟΣ οδός", "“quoted” – it’s €5… ﬂat ™ ½", "각 각 ﾊﾞ", "e\u0301 \u0323\u0307s", "😀 fine", "\U0002f800", " em line",
 ]
 
 
@@ -52,9 +52,19 @@ def test_normalisation_of_arbitrary_text(spark):
         assert key == python_clean(value).casefold(), ascii(value)
 
 
-def test_plain_latin_folds_in_the_jvm(spark):
-    plain = [chr(c) for c in range(0x21, 0x180) if not re.match(tx.OUTSIDE_PLAIN_LATIN, chr(c)) and not chr(c).isspace()]
-    assert column(spark, plain, tx.fold_case(F.col("v"))) == [c.casefold() for c in plain]
+def test_every_character_by_itself(spark):
+    """All characters below the table's limit: those the JVM maps follow Python, alone and beside a letter."""
+    left = set(tx.character_tables().left)
+    alone = [chr(c) for c in range(0x21, 0x20000) if unicodedata.category(chr(c)) not in ("Cs", "Cn") and chr(c) not in left]
+    assert len(alone) > 60_000 and all(c not in left for c in "’“”–—€…ﬁＡ가漢字😀ßé")
+    chunks = [alone[i : i + 64] for i in range(0, len(alone), 64)]
+    texts = ["a".join(chunk) for chunk in chunks] + ["".join(chunk) for chunk in chunks]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string").repartition(8)
+    assert rows.where(tx.is_special(F.col("v"))).count() < 0.1 * len(texts)  # characters newer than the JVM's table
+    for value, (text, key) in zip(texts, normalised(spark, texts), strict=True):
+        assert text == python_clean(value), ascii(value)
+        assert key == python_clean(value).casefold(), ascii(value)
+    assert column(spark, sorted(left), tx.is_special(F.col("v")), "string") == [True] * len(left)
 
 
 def test_context_sentences(spark):

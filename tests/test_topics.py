@@ -116,13 +116,17 @@ def test_proposed_labels(spark):
     contents = {
         1: ('{"0":"Battery","1":"Screen"}', True), 2: ('{"0":"Battery"}', False), 3: ('{"0":"Battery","1":"Screen","-1":"x"}', False),
         4: ('{"0":"Battery","1":" "}', False), 5: ('{"0":"Battery","1":5}', False), 6: ('{"0":"Battery","1":"two\\nlines"}', False),
-        7: ("not json", False), 8: ('{"0":"Battery","1":"' + "x" * 81 + '"}', False), 9: ('{"1":"' + "x" * 80 + '","0":"B"}', True),
+        7: ("not json", False), 10: ("{}", False), 11: ('{"0":"Battery","2":"Screen"}', False), 8: ('{"0":"Battery","1":"' + "x" * 81 + '"}', False), 9: ('{"1":"' + "x" * 80 + '","0":"B"}', True),
     }
     proposals = spark.createDataFrame([(k, v[0]) for k, v in contents.items()], "proposal_id int, content string")
-    rows = naming.check_proposed_labels(proposals, old).collect()
-    assert {r.proposal_id: r.accepted for r in rows} == {k: v[1] for k, v in contents.items()}
-    assert {r.topic_id: r.label for r in rows if r.proposal_id == 1} == {-1: "Unassigned / mixed", 0: "Battery", 1: "Screen"}
-    assert {r.label for r in rows if r.proposal_id == 5} == {"Unassigned / mixed", "A", "B"}
+    checked = naming.check_proposed_labels(proposals, old)
+    assert {r.proposal_id: r.accepted for r in checked.proposals.collect()} == {k: v[1] for k, v in contents.items()}
+    labels = checked.accepted_labels.collect()
+    assert {r.topic_id: r.label for r in labels if r.proposal_id == 1} == {0: "Battery", 1: "Screen"}
+    assert {r.proposal_id for r in labels} == {1, 9}
+    for proposal, names in ((1, {-1: "Unassigned / mixed", 0: "Battery", 1: "Screen"}), (5, {-1: "Unassigned / mixed", 0: "A", 1: "B"})):
+        renamed = naming.rename_topics(old, proposals.where(F.col("proposal_id") == proposal))
+        assert {r.topic_id: r.label for r in renamed.collect()} == names
 
 
 @pytest.mark.parametrize("texts", [["ok"], ["a", "the"], ["great", "bad", "fine"]])
@@ -173,17 +177,23 @@ def test_model_embeddings_have_unit_length(spark):
     assert all(sum(x * x for x in r.embedding) == pytest.approx(1, abs=1e-6) for r in rows)
 
 
-def test_density_topics_and_outliers(spark):
+def test_density_topics_through_discovery(spark):
     rng = np.random.default_rng(7)
     centres = np.eye(8)[:3] * 10
     blobs = np.concatenate([c + rng.normal(scale=0.3, size=(60, 8)) for c in centres] + [rng.uniform(-40, -20, size=(4, 8))])
     found = topics.discover_topics(embedded(spark, blobs), "auto", embedding="v", restarts=1)
-    assert found.method in ("Embeddings + density topics", "Embeddings + KMeans")
-    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(blobs)], "row_no long, embedding array<double>")
-    placed = {r.row_no: r.topic_id for r in density.density_topics(frame, 9, 3, width=2.0).collect()}
+    assert found.method == "Embeddings + density topics" and not found.warnings
+    placed = {r.row_no: r.topic_id for r in found.reviews.collect()}
     groups = [{placed[i] for i in range(b * 60, b * 60 + 60)} - {-1} for b in range(3)]
-    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
-    assert all(placed[i] == -1 for i in range(180, 184))
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and len(placed) == 184
+    labels = {r.topic_id: r.label for r in found.topics.collect()}
+    assert {r.topic_id: r.topic for r in found.reviews.collect()} == labels
+
+
+def test_one_blob_falls_back_to_kmeans(spark):
+    same = np.tile([[1.0, 0.0, 0.0]], (40, 1))
+    found = topics.discover_topics(embedded(spark, same), "auto", embedding="v", restarts=1)
+    assert found.method == "Embeddings + KMeans" and "degenerate" in found.warnings[0]
 
 
 def brute_grid(points, low, width, minimum):
@@ -238,10 +248,12 @@ def test_long_chain_is_one_component(spark):
     nodes = spark.range(200).select(F.col("id").alias("cell"))
     edges = spark.range(199).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    assert density.connected_components(nodes, both).select("component").distinct().count() == 1
+    for most in (0, 1_000):
+        assert density.connected_components(nodes, both, most).select("component").distinct().count() == 1
 
 
-def test_cluster_policy():
-    assert [topics.cluster_count(n, n) for n in (3, 499, 500, 1999, 2000, 9999, 10000)] == [3, 5, 8, 8, 12, 12, 15]
-    assert topics.cluster_count(600, 2) == 2
+def test_cluster_policy(spark):
+    rows = [(n, n) for n in (3, 499, 500, 1999, 2000, 9999, 10000)] + [(600, 2), (4, 0)]
+    counted = spark.createDataFrame(rows, "n long, texts long").select("n", topics.cluster_count(F.col("n"), F.col("texts")).alias("k"))
+    assert [r.k for r in counted.collect()] == [3, 5, 8, 8, 12, 12, 15, 2, 1]
     assert [density.minimum_topic_size(n) for n in (10, 100, 1000)] == [3, 5, 15]

@@ -6,9 +6,11 @@ explicit character classes because the JVM's own shorthands differ.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,22 +22,56 @@ from voxrank import fixed_values as fixed
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
-# Code points below this are Latin letters, digits and signs; none combines.
-_PLAIN_LIMIT = 0x180
+# Code points from here on (rare ideographs) are left to Python.
+_TABLE_LIMIT = 0x20000
+# Blocks whose signs are spelled out in the JVM: Latin-1, punctuation, letterlike signs, number forms, ligatures.
+_SPELLED_BLOCKS = [(0x80, 0x100), (0x2000, 0x2070), (0x2100, 0x2150), (0x2150, 0x2190), (0xFB00, 0xFB07)]
 
 
-def _outside_plain_latin() -> str:
-    """Regex for any character that NFKC might change, or change by composing."""
-    stable = [c for c in range(_PLAIN_LIMIT) if unicodedata.is_normalized("NFKC", chr(c))]
-    ranges, start = [], stable[0]
-    for here, following in zip(stable, stable[1:] + [None]):
-        if following != here + 1:
-            ranges.append(f"\\u{start:04x}-\\u{here:04x}")
-            start = following
-    return "[^" + "".join(ranges) + "]"
+@dataclass(frozen=True)
+class CharacterTables:
+    """What NFKC and case folding do to single characters.
 
+    ``single`` characters become one other character each, ``spelled`` ones several. ``left``
+    are those that need their neighbours (marks and everything that may join what stands
+    before it), fold unlike lower case, or become something of that kind.
+    """
+
+    single: dict[str, str]
+    spelled: dict[str, str]
+    left: str
+
+
+@functools.cache
+def character_tables() -> CharacterTables:
+    """Worked out from this Python's character database, once a process."""
+    joining = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # vowels and finals of Hangul syllables
+    points = [c for c in range(0x80, _TABLE_LIMIT) if not 0xD800 <= c <= 0xDFFF]
+    for c in points:
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            joining.add(int(parts[1], 16))
+
+    def alone(c: str) -> bool:
+        return (
+            not unicodedata.combining(c) and ord(c) not in joining and ord(c) < _TABLE_LIMIT
+            and c not in "Σ" and (c.casefold() == c.lower() or c == "ß")  # the final sigma depends on its word
+        )
+
+    single, spelled, left = {}, {}, []
+    for c in map(chr, points):
+        new = unicodedata.normalize("NFKC", c)
+        if not all(alone(x) for x in new) or not alone(c) and c == new:
+            left.append(c)
+        elif new != c and len(new) == 1:
+            single[c] = new
+        elif new != c:
+            if any(low <= ord(c) < high for low, high in _SPELLED_BLOCKS):
+                spelled[c] = new
+            else:
+                left.append(c)
+    return CharacterTables(single, spelled, "".join(left))
 
-OUTSIDE_PLAIN_LATIN = _outside_plain_latin()
 
 _NORMALISED = T.StructType([T.StructField("text", T.StringType()), T.StructField("key", T.StringType())])
 
@@ -54,29 +90,46 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Case folding, exact for normalised Latin text (checked by a test)."""
+    """Case folding, exact for text that needs no Python (checked by a test)."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+def _has_any(text: Column, characters: str) -> Column:
+    return F.length(F.translate(text, characters, "")) != F.length(text)
+
+
 def is_special(text: Column) -> Column:
     """Whether NFKC or case folding of ``text`` may need Python.
 
-    Pure ASCII is recognised by its byte count; the look-ahead lets the regex
-    engine skip ASCII characters before it consults the long character class.
+    Pure ASCII is recognised by its byte count; other texts are checked against the table of
+    characters that need more than a look at themselves.
     """
-    return (F.length(text) != F.octet_length(text)) & text.rlike(r"(?=[^\x00-\x7f])" + OUTSIDE_PLAIN_LATIN)
+    beyond = text.rlike(r"[\x{20000}-\x{10ffff}\p{Cn}]")  # rare ideographs, and what a newer table may know
+    return (F.length(text) != F.octet_length(text)) & (_has_any(text, character_tables().left) | beyond)
+
+
+def _normalised_alone(text: Column) -> Column:
+    """NFKC of a text whose characters are all unchanged, replaced or spelled out by themselves."""
+    tables = character_tables()
+    replaced = F.translate(text, "".join(tables.single), "".join(tables.single.values()))
+    spelled = replaced
+    for sign, letters in tables.spelled.items():
+        spelled = F.replace(spelled, F.lit(sign), F.lit(letters))
+    whole = F.when(_has_any(text, "".join(tables.spelled)), spelled).otherwise(replaced)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(whole)
 
 
 def with_normalised(df: DataFrame, source: str, text: str, key: str) -> DataFrame:
     """Add normalised ``text`` and its case-folded duplicate ``key``.
 
-    Spark has no NFKC. Rows made only of plain Latin characters, which NFKC
-    leaves alone, stay in the JVM; all others are handed to Python through
-    Arrow, and the plain rows travel there as nulls. Each step is its own
-    projection, so no regex runs twice for a row.
+    Spark has no NFKC. Characters that are replaced or spelled out by themselves are mapped in
+    the JVM; rows with marks, conjoining letters and unlike case folding are handed to Python
+    through Arrow, and the other rows travel there as nulls. Each step is its own
+    projection, so no check runs twice for a row.
     """
     raw = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    staged = df.withColumns({"_plain": collapse_spaces(raw), "_special": F.when(is_special(raw), raw)}).drop(source)
+    staged = df.withColumn("_special", F.when(is_special(raw), raw))
+    staged = staged.withColumn("_plain", F.when(F.col("_special").isNull(), collapse_spaces(_normalised_alone(raw)))).drop(source)
     staged = staged.withColumn("_python", _normalise_in_python("_special"))
     special = F.col("_special").isNotNull()
     return staged.withColumns({

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
+from voxrank.operators import late
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_WEEKDAY = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,\s+"
-_ZONE = r"[ T]\d{1,2}:\d\d.*(Z|z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?|[A-Z][a-z]+/[A-Z]\w+)\s*$"
-_ISO_DATE = r"^\s*\d{4}-\d{1,2}(-\d{1,2}([ T].*)?)?\s*$|^\s*\d{4}\s*$"
+_WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+# hours, minutes, seconds and fraction, half of the day, zone; or T and digits without signs
+_CLOCK = (
+    r"(?i)(?:[ ,T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([ap])\.?m\.?)?"
+    r"|(?<=\d{8})T(\d{2})(\d{2})(\d{2})?)"
+    r"\s*(Z|UTC|GMT|[ECMP][SD]T|[+-]\d{1,2}(?::?\d{2})?|[A-Z][a-z]+/[A-Z]\w+(?:/\w+)?)?(?=\s+\d{4}$|\s*$)"
+)
+_FORMS = "^(?:" + "|".join(fixed.DATE_FORMS) + ")$"
 
 ROW_CHECKS = ["status", "dedup_key", "invalid_rating", "invalid_date", "missing_flags"]
 
@@ -51,21 +57,61 @@ def usable_rating(df: DataFrame, name: str) -> Column:
 def parsed_date(date: Column) -> Column:
     """Mixed notations to a timestamp; month comes first where both orders fit.
 
-    Text without a zone is read in UTC, whatever the session's zone. Each
-    notation is tried only on text of its shape, so most rows parse once.
+    The text is taken apart once: weekday, clock, half of the day and zone are cut off, what is
+    left is checked against the known forms and split into its three fields, whose order
+    follows from their shapes. One instant in one notation is then parsed. Text without a zone is
+    read in UTC, whatever the session's zone; years of two digits are 1969 to 2068; a
+    missing month or day is the first.
     """
-    text = F.regexp_replace(F.trim(date.cast("string")), _WEEKDAY, "")
-    zoned = text.rlike(_ZONE)
-    # the zone, and what a shorter notation lacks
-    dashes = F.length(text) - F.length(F.replace(text, F.lit("-"), F.lit("")))
-    with_clock = F.coalesce(*[F.try_to_timestamp(F.concat(text, F.lit(e))) for e in ("Z", ":00Z", ":00:00Z")])
-    ending = F.when(dashes == 0, F.lit("-01-01 00:00:00Z")).when(dashes == 1, F.lit("-01 00:00:00Z")).otherwise(F.lit(" 00:00:00Z"))
-    completed = F.when(text.rlike(r"[ T]\d"), with_clock).otherwise(F.try_to_timestamp(F.concat(text, ending)))
-    tries = [F.when(text.rlike(_ISO_DATE), F.when(zoned, F.try_to_timestamp(text)).otherwise(completed))]
-    in_utc = F.concat(text, F.lit(" UTC"))
-    tries += [F.when(text.rlike(shape), F.try_to_timestamp(in_utc, F.lit(f"{pattern} VV"))) for shape, pattern in fixed.DATE_SHAPES]
-    tries += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))) for shape, pattern in fixed.ZONED_DATE_SHAPES]
-    return F.when(F.typeof(date) == "timestamp", date.try_cast("timestamp")).otherwise(F.coalesce(*tries))
+    if_date = F.regexp_replace(F.trim(date.cast("string")), _WEEKDAY, "")
+
+    def read(text: Column) -> Column:
+        bare = F.lower(F.regexp_replace(text, _CLOCK, ""))
+        bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<=\d)(st|nd|rd|th)\b", ""), r"[,\s]+", " "))
+        return F.when(bare.rlike(_FORMS), F.split(F.regexp_replace(bare, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"), "[-/. ]"))
+
+    def month(name: Column) -> Column:
+        return F.array_position(F.array(*[F.lit(m) for m in fixed.MONTHS]), F.left(name, F.lit(3)))
+
+    def fields(parts: Column) -> Column:
+        """(year, month, day) as numbers."""
+        one, two, three = (F.get(parts, F.lit(i)) for i in range(3))
+        first, second = one.try_cast("int"), two.try_cast("int")
+        year = three.try_cast("int")
+        year = F.when(F.length(three) > 2, year).when(year < 69, year + 2000).otherwise(year + 1900)
+        in_order = F.struct(first.alias("y"), F.coalesce(second, F.lit(1)).alias("m"), F.coalesce(three.try_cast("int"), F.lit(1)).alias("d"))
+        named_first = F.struct(year.alias("y"), month(one).cast("int").alias("m"), second.alias("d"))
+        named_second = F.struct(year.alias("y"), month(two).cast("int").alias("m"), first.alias("d"))
+        swapped = first > 12
+        numbers = F.struct(year.alias("y"), F.when(swapped, second).otherwise(first).alias("m"), F.when(swapped, first).otherwise(second).alias("d"))
+        return F.when(F.length(one) == 4, F.when(first.isNotNull(), in_order).otherwise(named_first)).when(first.isNull(), named_first).when(
+            second.isNull(), named_second).otherwise(numbers)
+
+    def instant(text: Column) -> Column:
+        def part(number: int, plain: int | None = None) -> Column:
+            found = F.regexp_extract(text, _CLOCK, number)
+            return F.concat(found, F.regexp_extract(text, _CLOCK, plain)) if plain else found
+
+        hour = part(1, 6).try_cast("int")
+        half = F.lower(part(5))
+        hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        clocked = F.concat(
+            F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2, 7), F.lit(":"), F.rpad(part(3, 8), 2, "0"),
+            F.lit("."), F.rpad(part(4), 6, "0"))
+        zone = F.lower(part(9))
+        shifted = F.lit(None).cast("string")
+        for name, offset in fixed.ZONE_HOURS.items():
+            shifted = F.when(zone == name, offset).otherwise(shifted)
+        offset = F.regexp_replace(F.regexp_replace(zone, r"^([+-])(\d)(:?\d\d)?$", "$10$2$3"), r"^([+-]\d\d)$", "$1:00")
+        offset = F.regexp_replace(offset, r"^([+-]\d\d)(\d\d)$", "$1:$2")
+        shifted = F.coalesce(shifted, F.when(zone.isin("", "z", "utc", "gmt"), F.lit("Z")).when(zone.rlike("^[+-]"), offset).otherwise(
+            F.concat(F.lit(" "), part(9))))
+        no_clock = part(2, 7) == ""
+        day = tx.bind(read(text), lambda parts: tx.bind(fields(parts), lambda f: F.concat(
+            F.lpad(f["y"].cast("string"), 4, "0"), F.lit("-"), F.lpad(f["m"].cast("string"), 2, "0"), F.lit("-"), F.lpad(f["d"].cast("string"), 2, "0"))))
+        return F.try_to_timestamp(F.concat(day, F.lit(" "), F.when(no_clock, F.lit("00:00:00Z")).otherwise(F.concat(clocked, shifted))))
+
+    return F.when(F.typeof(date) == "timestamp", date.try_cast("timestamp")).otherwise(tx.bind(if_date, instant))
 
 
 def review_id(row_no: Column) -> Column:
@@ -114,12 +160,18 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def clean(prepared: DataFrame, columns: Sequence[str] | None = None, row_no: str = "row_no") -> DataFrame:
     """Usable rows without repeats.
 
-    The repeat key is a 32-byte hash; name the ``columns`` wanted to shuffle
-    only those, which leaves the review text behind when flags are enough.
+    The repeat key is a 32-byte hash; name the ``columns`` wanted to rank only
+    those. Without it the rows are stored once, the first row of each key is found on
+    (row number, key, status), and the stored rows are read again past the bits of the
+    rows to drop: their text never meets a shuffle, nor does a hot key.
     """
-    rows = prepared
-    if columns is not None:
-        rows = rows.select(*dict.fromkeys([row_no, "dedup_key", "status", *columns]))
+    if columns is None:
+        rows = late.stored(prepared, "prepared")
+        first = F.min(F.struct(row_no, late.PLACE))[late.PLACE].alias(late.PLACE)
+        # the status is no part of the key: equal texts have equal status
+        kept = rows.where("status = 'usable'").groupBy("dedup_key").agg(first).select(late.PLACE)
+        return late.keep(rows, kept).drop(late.PLACE, *ROW_CHECKS)
+    rows = prepared.select(*dict.fromkeys([row_no, "dedup_key", "status", *columns]))
     # The status is tested after the ranking on purpose: before it, the test
     # would be pushed under the projection and evaluate every text twice. Blank
     # rows share one key, so they shrink to one row per task anyway.

@@ -40,6 +40,20 @@ def ids_by_kind(topics: DataFrame, supporting: DataFrame) -> DataFrame:
     )
 
 
+def own_ids(ids: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The id lists without reviews of other topics, or of none.
+
+    Supporting rows come from the topic itself, so only the listed representatives, a few a
+    topic, are looked up: one narrow scan past a broadcast of counted ids.
+    """
+    listed = materialise(ids.select("topic_id", F.posexplode("representative").alias("position", "review_id")), "listed")
+    found = reviews.select("topic_id", "review_id").join(counted_broadcast(listed), ["topic_id", "review_id"])
+    kept = found.groupBy("topic_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "review_id"))), lambda x: x["review_id"]).alias("_own"))
+    none = F.array().cast("array<string>")
+    return ids.join(kept, "topic_id", "left").withColumn("representative", F.coalesce("_own", none)).drop("_own")
+
+
 def evidence_pool(ids: DataFrame, size: int = fixed.EVIDENCE_POOL_SIZE, per_kind: int = fixed.POOL_ROWS_PER_KIND) -> DataFrame:
     """(topic_id, review_ids): representatives, then negatives, then commercial, without repeats."""
     joined = F.concat("representative", F.slice("negative", 1, per_kind), F.slice("commercial", 1, per_kind))

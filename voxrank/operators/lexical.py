@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
+from voxrank.operators import late
 from voxrank.operators.skew import join_by_frequency
 from voxrank.session import materialise, store
 
@@ -63,18 +64,20 @@ class LexicalFeatures:
 
     ``vectors`` has (row_no, features) for Spark ML; ``sparse`` shows the same
     file as (row_no, indices, values). Both carry topic_id once it is known.
-    ``terms`` is the vocabulary in index order.
+    ``terms`` is the vocabulary in index order. ``vectorise`` adds the ``features`` of a row
+    to any rows with the text, row by row.
     """
 
     vectors: DataFrame
     sparse: DataFrame
     terms: list[str]
     method: str
+    vectorise: Callable[[DataFrame], DataFrame]
 
     def with_topics(self, assigned: DataFrame) -> LexicalFeatures:
         """The same vectors stored beside their topic: one join for all later passes."""
         placed = assigned.select("row_no", "topic_id").join(self.vectors.select("row_no", "features"), "row_no")
-        return _stored(placed, self.terms, self.method)
+        return _stored(placed, self.terms, self.method, self.vectorise)
 
     def entries(self) -> DataFrame:
         """One row per stored weight: (row_no, term, weight)."""
@@ -85,7 +88,7 @@ class LexicalFeatures:
         return cells.join(F.broadcast(names), "index").select("row_no", "term", "weight")
 
 
-def _stored(vectors: DataFrame, terms: list[str], method: str) -> LexicalFeatures:
+def _stored(vectors: DataFrame, terms: list[str], method: str, vectorise: Callable[[DataFrame], DataFrame]) -> LexicalFeatures:
     path = store(vectors, "tfidf")
     reader = vectors.sparkSession.read
     plain = ", ".join(f"{n} {k}" for n, k in vectors.dtypes if n != "features")
@@ -93,15 +96,20 @@ def _stored(vectors: DataFrame, terms: list[str], method: str) -> LexicalFeature
         *[n for n in vectors.columns if n != "features"],
         F.col("features.indices").alias("indices"), F.col("features.values").alias("values"),
     )
-    return LexicalFeatures(reader.schema(vectors.schema).parquet(path), sparse, terms, method)
+    return LexicalFeatures(reader.schema(vectors.schema).parquet(path), sparse, terms, method, vectorise)
 
 
-def _vectorise(docs: DataFrame, vocab: list, method: str) -> LexicalFeatures:
+def _vectorise(docs: DataFrame, carried: list[str], tokens: Column, vocab: list, method: str) -> LexicalFeatures:
     terms = [r.term for r in vocab]
-    counted = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts").transform(docs)
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="counts", outputCol="weighted")
-    unit = Normalizer(p=2.0, inputCol="weighted", outputCol="features")
-    return _stored(unit.transform(weigh.transform(counted)).drop("terms", "counts", "weighted"), terms, method)
+    count = CountVectorizerModel.from_vocabulary(terms, inputCol="_terms", outputCol="_counts")
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="_counts", outputCol="_weighted")
+    unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
+
+    def vectorise(rows: DataFrame) -> DataFrame:
+        counted = count.transform(rows.withColumn("_terms", tokens)).drop("_terms")
+        return unit.transform(weigh.transform(counted)).drop("_counts", "_weighted")
+
+    return _stored(vectorise(docs).select(*carried, "features"), terms, method, vectorise)
 
 
 def lexical_features(
@@ -117,29 +125,27 @@ def lexical_features(
     """
     carried = ["row_no", *[c for c in docs.columns if c == "topic_id"]]
     stops = english_stop_words() if stop_words is None else stop_words
-    worded = docs.select(*carried, word_terms(F.col(text), stops).alias("terms"))
-    vocab = vocabulary(worded, max_words).orderBy("term").collect()
+    words = word_terms(F.col(text), stops)
+    vocab = vocabulary(docs.select(words.alias("terms")), max_words).orderBy("term").collect()
     if vocab:
-        return _vectorise(worded, vocab, "words")
-    lettered = docs.select(*carried, tx.character_runs(F.col(text)).alias("terms"))
-    return _vectorise(lettered, vocabulary(lettered, max_characters).orderBy("term").collect(), "characters")
+        return _vectorise(docs, carried, words, vocab, "words")
+    letters = tx.character_runs(F.col(text))
+    vocab = vocabulary(docs.select(letters.alias("terms")), max_characters).orderBy("term").collect()
+    return _vectorise(docs, carried, letters, vocab, "characters")
 
 
-def topic_keywords(features: LexicalFeatures, size: int = fixed.KEYWORDS_PER_TOPIC) -> DataFrame:
-    """(topic_id, keywords, label): terms of highest mean weight.
+def topic_sums(features: LexicalFeatures) -> DataFrame:
+    """(topic_id, index, weight), written: summed before the shuffle, at most topics x vocabulary rows remain."""
+    cells = features.sparse.select("topic_id", F.inline(F.arrays_zip("indices", "values"))).toDF("topic_id", "index", "weight")
+    return materialise(cells.groupBy("topic_id", "index").agg(F.sum("weight").alias("weight")), "topic-sums")
 
-    Sums are formed before the shuffle; what remains is at most topics x
-    vocabulary rows.
-    """
-    spark = features.sparse.sparkSession
-    names = spark.createDataFrame(list(enumerate(features.terms)), "index int, term string")
-    sums = (
-        features.sparse.select("topic_id", F.inline(F.arrays_zip("indices", "values"))).toDF("topic_id", "index", "weight")
-        .groupBy("topic_id", "index").agg(F.sum("weight").alias("weight"))
-        .where("weight > 0")
-        .join(F.broadcast(names), "index")  # at most max_features names
-    )
-    return _top_terms(sums, features.sparse.select("topic_id").distinct(), size)
+
+def topic_keywords(features: LexicalFeatures, size: int = fixed.KEYWORDS_PER_TOPIC, sums: DataFrame | None = None) -> DataFrame:
+    """(topic_id, keywords, label): terms of highest mean weight."""
+    sums = topic_sums(features) if sums is None else sums
+    names = sums.sparkSession.createDataFrame(list(enumerate(features.terms)), "index int, term string")
+    named = sums.where("weight > 0").join(F.broadcast(names), "index")  # at most max_features names
+    return _top_terms(named, features.sparse.select("topic_id").distinct(), size)
 
 
 def _top_terms(sums: DataFrame, topics: DataFrame, size: int) -> DataFrame:
@@ -167,12 +173,23 @@ def _nearest(scored: DataFrame, size: int) -> DataFrame:
     return top.select("topic_id", "row_no", F.col("_rank").alias("position"), "similarity")
 
 
-def _topic_means(vectors: DataFrame, features: str) -> DataFrame:
-    """(topic_id, mean, length, n), written: one dense array per topic."""
-    means = vectors.groupBy("topic_id").agg(
-        vector_to_array(Summarizer.mean(F.col(features))).alias("mean"), F.count("*").alias("n")
-    )
-    return materialise(means.withColumn("length", F.sqrt(_dot(F.col("mean"), F.col("mean")))), "means")
+def _topic_means(sums: DataFrame, counts: DataFrame, dimensions: int) -> DataFrame:
+    """(topic_id, mean, length, n), written, from (topic_id, index, weight) and (topic_id, n).
+
+    Sums over (topic, index) have met before this; one array a topic is put together at the end.
+    """
+    def dense(group: pa.Table) -> pa.Table:
+        mean = np.zeros(dimensions)
+        mean[group.column("index").to_numpy()] = group.column("weight").to_numpy() / group.column("n")[0].as_py()
+        return pa.table({
+            "topic_id": group.column("topic_id")[:1], "mean": pa.array([mean], pa.list_(pa.float64())),
+            "length": pa.array([float(np.sqrt(mean @ mean))]), "n": group.column("n")[:1]})
+
+    kind = dict(sums.dtypes)["topic_id"]
+    rows = counts.join(sums, "topic_id", "left").select(
+        "topic_id", F.coalesce("index", F.lit(0)).alias("index"), F.coalesce("weight", F.lit(0.0)).alias("weight"), "n")
+    return materialise(rows.groupBy("topic_id").applyInArrow(
+        dense, f"topic_id {kind}, mean array<double>, length double, n long"), "means")
 
 
 def _join_means(rows: DataFrame, means: DataFrame, dimensions: int) -> DataFrame:
@@ -181,14 +198,16 @@ def _join_means(rows: DataFrame, means: DataFrame, dimensions: int) -> DataFrame
 
 
 def lexical_representatives(
-    features: LexicalFeatures, size: int = fixed.REPRESENTATIVES_PER_TOPIC
+    features: LexicalFeatures, size: int = fixed.REPRESENTATIVES_PER_TOPIC, sums: DataFrame | None = None
 ) -> DataFrame:
     """(topic_id, row_no, position, similarity): rows nearest their topic mean.
 
     The mean is one dense array per topic, so each row is compared inside the
     row and only the best few of each task reach the shuffle.
     """
-    means = _topic_means(features.vectors, "features")
+    sums = topic_sums(features) if sums is None else sums
+    counts = features.sparse.groupBy("topic_id").agg(F.count("*").alias("n"))
+    means = _topic_means(sums, counts, len(features.terms))
     dot = F.aggregate(
         F.arrays_zip("indices", "values"), F.lit(0.0),
         lambda s, x: s + x["values"] * F.get("mean", x["indices"]),
@@ -204,8 +223,11 @@ def embedding_representatives(
 ) -> DataFrame:
     """The same over an embedding column of ``assigned``."""
     rows = assigned.select("row_no", "topic_id", F.col(embedding).cast("array<double>").alias("v"))
-    means = _topic_means(rows.select("topic_id", array_to_vector("v").alias("u")), "u")
-    dimensions = means.agg(F.max(F.size("mean")).alias("d")).first().d or 1
+    sums = rows.select("topic_id", F.posexplode("v").alias("index", "weight")).groupBy("topic_id", "index").agg(F.sum("weight").alias("weight"))
+    counts = rows.groupBy("topic_id").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"))
+    counts = materialise(counts, "topic-counts")
+    dimensions = counts.agg(F.max("d").alias("d")).first().d or 1
+    means = _topic_means(sums, counts.select("topic_id", "n"), dimensions)
     scale = F.sqrt(_dot(F.col("v"), F.col("v"))) * F.col("length")
     scored = _join_means(rows, means, dimensions).select(
         "topic_id", "row_no", F.when(scale > 0, _dot(F.col("v"), F.col("mean")) / scale).otherwise(0.0).alias("similarity")
@@ -216,22 +238,24 @@ def embedding_representatives(
 def lexical_cohesion(reviews: DataFrame, text: str = "review_text") -> DataFrame:
     """Mean cosine of each row's TF-IDF to its topic mean, over all words.
 
-    Rows have unit length, so the mean cosine to the topic mean equals the
-    length of that mean: no row is compared with anything. The vocabulary is
-    unbounded here; term frequencies are counted inside the row, and the very
-    frequent words are joined without a shuffle (``join_by_frequency``).
+    Rows have unit length, so the mean cosine to the topic mean equals the length of that mean:
+    no row is compared with anything. The vocabulary is unbounded here. Each row's counted
+    terms are stored once; frequent terms (a proven bound, ``skew``) meet their weight inside the row,
+    rare ones as (place, term) pairs. A row's length is a sum of partial sums, one a row and
+    task, and comes back to the stored row by place, so the terms of a row are never gathered.
     """
-    counted = materialise(
-        reviews.select("row_no", "topic_id", F.inline(tx.term_counts(tx.words(F.col(text), shortest=1)))), "terms"
-    )
-    documents = reviews.agg(F.count("*").alias("n")).scalar()
-    lookup = materialise(counted.groupBy("term").agg(F.count("*").alias("doc_freq")), "doc_freq")
-    weighted = join_by_frequency(counted, lookup, ["term"], "doc_freq").select(
-        "row_no", "topic_id", "term", (F.col("tf") * _idf(documents, F.col("doc_freq"))).alias("weight")
-    )
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("row_no")))
-    sums = weighted.select("topic_id", "term", (F.col("weight") / length).alias("unit")).groupBy("topic_id", "term").agg(
-        F.sum("unit").alias("weight")
+    counted = late.stored(
+        reviews.select("row_no", "topic_id", tx.term_counts(tx.words(F.col(text), shortest=1)).alias("terms")), "terms")
+    documents = counted.agg(F.count("*").alias("n")).scalar()
+    pairs = counted.select(late.PLACE, "topic_id", F.inline("terms"))
+    lookup = materialise(pairs.groupBy("term").agg(F.count("*").alias("doc_freq")), "doc_freq")
+    weight = F.col("tf") * _idf(documents, F.col("doc_freq"))
+    weighted = join_by_frequency(pairs, lookup, ["term"], "doc_freq")
+    squares = weighted.groupBy(late.PLACE).agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+    measured = late.with_value(counted, materialise(squares, "lengths"), "length")
+    units = measured.select("topic_id", "length", F.inline("terms"))
+    sums = join_by_frequency(units, lookup, ["term"], "doc_freq").groupBy("topic_id", "term").agg(
+        F.sum(weight / F.col("length")).alias("weight")
     )
     lengths = sums.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     groups = reviews.groupBy("topic_id", "topic").agg(F.count("*").alias("n"), F.min("row_no").alias("first")).groupBy(

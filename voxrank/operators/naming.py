@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
 from voxrank.operators.responses import strict_json
+from voxrank.operators.skew import counted_broadcast
 from voxrank.session import materialise
 
 
@@ -47,12 +50,21 @@ def with_display(df: DataFrame, labels: DataFrame, source: str, target: str) ->
     return df.join(named, source, "left").withColumn(target, F.coalesce("_display", source)).drop("_display")
 
 
-def check_proposed_labels(proposals: DataFrame, topics: DataFrame) -> DataFrame:
-    """(proposal_id, topic_id, label, accepted): proposed labels, or the old ones.
+@dataclass
+class CheckedLabels:
+    """(proposal_id, accepted) of every proposal; (proposal_id, topic_id, label) of the accepted ones."""
+
+    proposals: DataFrame
+    accepted_labels: DataFrame
+
+
+def check_proposed_labels(proposals: DataFrame, topics: DataFrame) -> CheckedLabels:
+    """Accept or reject proposals (proposal_id, content), each one JSON object of topic names.
 
-    ``proposals`` is (proposal_id, content) with one JSON object per row. It is
-    accepted as a whole: exactly the known topics without the outlier group,
-    and only short, single-line, non-blank texts.
+    A proposal is accepted as a whole: exactly the topics without the outlier group, and only
+    short, single-line, non-blank texts. Its own entries are matched with the topics and
+    counted; an object's keys differ, so as many matches as entries and as topics mean equal
+    sets. Neither the topics nor the old labels are repeated for each proposal.
     """
     def usable(label: Column) -> Column:
         return F.coalesce(
@@ -61,19 +73,26 @@ def check_proposed_labels(proposals: DataFrame, topics: DataFrame) -> DataFrame:
         )
 
     fields = F.try_variant_get(strict_json(F.col("content")), "$", "map<string,variant>")
-    text = F.transform_values(
-        F.col("fields"), lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    )
-    nameable = topics.where(F.col("topic_id") != fixed.OUTLIER_TOPIC).select(F.col("topic_id").cast("string").alias("id"))
-    expected = nameable.agg(F.sort_array(F.collect_set("id")).alias("ids")).scalar()
-    texts = materialise(proposals.select("proposal_id", fields.alias("fields")).select("proposal_id", text.alias("texts")), "proposals")
-    checked = texts.withColumn("accepted", F.coalesce(
-        (F.sort_array(F.map_keys("texts")) == expected) & F.forall(F.map_values("texts"), usable), F.lit(False)
-    ))
-    # the answer holds every topic for every proposal; the topic list is one row per topic
-    listed = topics.agg(F.collect_list(F.struct("topic_id", "label")).alias("all")).scalar()
-    answered = checked.select("proposal_id", "texts", "accepted", F.explode(listed).alias("topic"))
-    offered = F.when(F.col("accepted"), F.element_at("texts", F.col("topic.topic_id").cast("string")))
-    return answered.select(
-        "proposal_id", "topic.topic_id", F.coalesce(offered, F.col("topic.label")).alias("label"), "accepted"
+    value = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))
+    read = proposals.select("proposal_id", F.explode_outer(fields).alias("key", "value")).select(
+        "proposal_id", "key", value.alias("label"))
+    entries = materialise(read, "proposals")
+    nameable = topics.where(F.col("topic_id") != fixed.OUTLIER_TOPIC).select("topic_id", F.col("topic_id").cast("string").alias("key"))
+    nameable = materialise(nameable, "nameable")
+    known = entries.join(counted_broadcast(nameable), "key", "left")
+    total = nameable.agg(F.count("*").alias("n")).scalar()
+    judged = known.groupBy("proposal_id").agg(
+        F.count("key").alias("entries"), F.count("topic_id").alias("matches"),
+        F.bool_and(F.col("key").isNotNull() & usable(F.col("label"))).alias("usable"),
     )
+    accepted = (F.col("entries") == total) & (F.col("matches") == total) & F.col("usable")
+    judged = materialise(judged.select("proposal_id", accepted.alias("accepted")), "judged")
+    labels = known.join(judged.where("accepted"), "proposal_id").select("proposal_id", "topic_id", "label")
+    return CheckedLabels(judged, labels)
+
+
+def rename_topics(topics: DataFrame, proposal: DataFrame) -> DataFrame:
+    """``topics`` (topic_id, label) under one proposal if it is accepted, else as they are."""
+    labels = check_proposed_labels(proposal, topics).accepted_labels.select("topic_id", F.col("label").alias("_new"))
+    return topics.join(counted_broadcast(materialise(labels, "new-labels")), "topic_id", "left").withColumn(
+        "label", F.coalesce("_new", "label")).drop("_new")

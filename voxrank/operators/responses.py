@@ -49,6 +49,11 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
+def _nested(value: Column) -> Column:
+    """Whether the value is a JSON array or object."""
+    return F.coalesce(_kind(value).rlike("^(ARRAY|OBJECT)"), F.lit(False))
+
+
 def _text(value: Column) -> Column:
     """The value if it is a JSON string, else null."""
     return bind(value, lambda v: F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
@@ -79,6 +84,8 @@ def _item(value: Column) -> Column:
             _whole_number(field("topic_id")).alias("topic_id"),
             *[_text(field(name)).alias(name) for name in fixed.PROSE_FIELDS],
             F.transform(_list(field("evidence_review_ids")), _text).alias("review_ids"),
+            _nested(field("category")).alias("nested_category"), _nested(field("topic_id")).alias("nested_topic"),
+            F.coalesce(F.exists(_list(field("evidence_review_ids")), _nested), F.lit(False)).alias("nested_ids"),
         )
 
     return bind(_fields(value), typed)
@@ -98,8 +105,11 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     def field(name: str) -> Column:
         return F.element_at("fields", F.lit(name))
 
+    # a bare number, truth value or null, and an array that holds arrays or objects, are not fit for a set of names
+    unfit = _kind(F.col("parsed")).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN|VOID)") | F.coalesce(
+        F.exists(_list(F.col("parsed")), _nested), F.lit(False))
     return materialise(parsed.select(
-        "response_id", "missing", F.col("parsed").isNotNull().alias("valid"), F.map_keys("fields").alias("keys"),
+        "response_id", "missing", F.col("parsed").isNotNull().alias("valid"), F.map_keys("fields").alias("keys"), unfit.alias("unfit"),
         _text(field("executive_synthesis")).alias("summary"),
         F.transform(_list(field("recommendations")), _item).alias("items"),
     ), "responses")
@@ -144,8 +154,19 @@ def _item_reason() -> Column:
     return reason.when(~grounded, reasons["citations"])
 
 
+def _item_error() -> Column:
+    """The name of the error that belongs to the fault: nested values where a plain one is looked up are of the wrong type."""
+    reasons = fixed.RESPONSE_REASONS
+    earlier = F.slice("categories", F.lit(1), F.col("position"))
+    category = F.coalesce(F.col("category").isin(fixed.BRIEF_CATEGORIES) & ~F.array_contains(earlier, F.col("category")), F.lit(False))
+    looked_up = F.col("nested_category") | (category & F.col("nested_topic"))
+    wrong = ((F.col("reason") == reasons["reference"]) & looked_up) | (
+        (F.col("reason") == reasons["citations"]) & F.col("nested_ids") & F.size("review_ids").between(*fixed.CITATION_COUNT))
+    return F.when(F.col("reason").isNotNull(), F.when(wrong, "TypeError").otherwise("ValueError"))
+
+
 def checked_recommendations(parsed: DataFrame, pool: DataFrame) -> DataFrame:
-    """Every recommendation of the responses that hold three, with its first fault or null.
+    """Every recommendation of the responses that hold three, with its first fault and its error's name, or nulls.
 
     ``pool`` is (topic_id, review_ids), one row per topic.
     """
@@ -155,18 +176,20 @@ def checked_recommendations(parsed: DataFrame, pool: DataFrame) -> DataFrame:
     )
     rows = sound.select("response_id", "position", "categories", "item.*")
     allowed = pool.select("topic_id", F.col("review_ids").alias("allowed"))
-    return rows.join(allowed, "topic_id", "left").withColumn("reason", _item_reason())
+    return rows.join(allowed, "topic_id", "left").withColumn("reason", _item_reason()).withColumn("error", _item_error())
 
 
 def validate_responses(parsed: DataFrame, pool: DataFrame) -> DataFrame:
-    """(response_id, accepted, reason): the first fault found, in reading order."""
+    """(response_id, accepted, reason, error): the first fault found, in reading order, and its error's name."""
     inside = checked_recommendations(parsed, pool).where("reason is not null").groupBy("response_id").agg(
-        F.min_by("reason", "position").alias("inner_reason")
+        F.min_by(F.struct("reason", "error"), "position").alias("inner")
     )
-    outside = parsed.select("response_id", _envelope_reason().alias("outer_reason"))
-    reason = F.coalesce("outer_reason", "inner_reason")
+    outer = _envelope_reason()
+    error = F.when(~F.col("valid"), "JSONDecodeError").when(F.col("unfit"), "TypeError").otherwise("ValueError")
+    outside = parsed.select("response_id", outer.alias("outer_reason"), F.when(outer.isNotNull(), error).alias("outer_error"))
+    reason, error = F.coalesce("outer_reason", "inner.reason"), F.coalesce("outer_error", "inner.error")
     return outside.join(inside, "response_id", "left").select(
-        "response_id", reason.isNull().alias("accepted"), reason.alias("reason")
+        "response_id", reason.isNull().alias("accepted"), reason.alias("reason"), error.alias("error")
     )
 
 
@@ -185,11 +208,10 @@ def accepted_insights(parsed: DataFrame, pool: DataFrame, scores: DataFrame) ->
 def choose_brief(parsed: DataFrame, pool: DataFrame, summary: DataFrame) -> DataFrame:
     """(response_id, summary, method, warning): the response's own, or the fallback."""
     checks = validate_responses(parsed, pool)
-    kind = F.when(F.col("reason") == fixed.RESPONSE_REASONS["json"], "JSONDecodeError").otherwise("ValueError")
     before, after = fixed.FAILED_RESPONSE_WARNING.split("{}")
     warning = (
         F.when(F.col("missing"), fixed.NO_RESPONSE_WARNING)
-        .when(~F.col("accepted"), F.concat(F.lit(before), kind, F.lit(after)))
+        .when(~F.col("accepted"), F.concat(F.lit(before), F.col("error"), F.lit(after)))
     )
     return checks.join(parsed.select("response_id", "missing", F.col("summary").alias("written")), "response_id").select(
         "response_id",

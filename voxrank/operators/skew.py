@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxrank.operators import late
+from voxrank.session import materialise
+
 HEAVY_KEYS = 20_000
 
 
@@ -42,20 +45,38 @@ def join_by_frequency(
     return frequent.unionByName(rare)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """Fail the job if a key repeats.
+def _digest(keys: Sequence[str]) -> Column:
+    """32 bytes for the keys' values, null if one is null (as such rows match nothing)."""
+    joined = F.concat(*[F.concat(F.octet_length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")) for k in keys])
+    return F.unhex(F.sha2(joined, 256))
 
-    Uses the partitioning and order the following sort-merge join needs anyway,
-    and streams: a second row of a key stops the job at once.
-    """
-    seen = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    message = F.concat(F.lit(f"{what} must be unique: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
-    return (
-        df.withColumn("_seen", seen)
-        .where(F.when(F.col("_seen") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
-        .drop("_seen")
-    )
+
+def _refuse_repeats(digests: DataFrame, keys: Sequence[str], what: str) -> Column:
+    """True, or a failure of the job that names a repeated key: one narrow count over digests."""
+    shown = F.concat_ws(",", *[F.left(F.col(k).cast("string"), F.lit(80)) for k in keys])
+    counted = digests.where("_digest is not null").groupBy("_digest").agg(F.count(F.lit(1)).alias("n"), F.min(shown).alias("shown"))
+    again = counted.where("n > 1").agg(F.min("shown")).scalar()
+    message = F.concat(F.lit(f"{what} must be unique: "), again)
+    return F.when(again.isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    return require_unique(left, keys, "Left keys").join(require_unique(right, keys, "Right keys"), list(keys), how)
+    """``left`` with the columns of ``right`` of equal keys; a key that repeats on a side fails the job.
+
+    Keys are compared by digest. Both sides are stored; repeats are counted on digests alone,
+    pairs of places are found by a narrow join, and the matching rows of ``right``, a few columns,
+    come back to the rows of ``left`` by place, so neither side is sorted by its keys and
+    the rows of ``left`` are never moved. ``how`` is "left" or "inner".
+    """
+    mine, theirs = late.stored(left, "one-left"), materialise(right, "one-right")
+    more = [c for c in right.columns if c not in keys]
+    own, other = mine.select(late.PLACE, *keys, _digest(keys).alias("_digest")), theirs.withColumn("_digest", _digest(keys))
+    sound = _refuse_repeats(own, keys, "Left keys") & _refuse_repeats(other, keys, "Right keys")
+    wanted = own.select(late.PLACE, "_digest").where("_digest is not null")
+    # the fewer digests there are on the left, the less of the right side has to move
+    few = counted_broadcast(materialise(wanted, "one-digests"))
+    values = few.join(other.select("_digest", F.struct(F.lit(True).alias("_found"), *more).alias("_right")), "_digest").select(late.PLACE, "_right")
+    joined = late.with_value(mine, values, "_right").where(sound)
+    if how == "inner":
+        joined = joined.where("_right is not null")
+    return joined.select(*left.columns, *[F.col(f"_right.{c}").alias(c) for c in more])

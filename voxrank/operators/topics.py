@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import PythonException
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +13,10 @@ from pyspark.sql import types as T
 
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
-from voxrank.operators import density, lexical
+from voxrank.operators import density, late, lexical
 from voxrank.operators.clean import review_id
+from voxrank.operators.kmeans import fit
+from voxrank.operators.skew import counted_broadcast
 from voxrank.session import materialise
 
 
@@ -30,9 +30,12 @@ class Topics:
     warnings: list[str]
 
 
-def cluster_count(rows: int, distinct_texts: int) -> int:
-    size = next((k for limit, k in fixed.CLUSTER_POLICY if rows < limit), fixed.LARGEST_CLUSTER_COUNT)
-    return min(size, rows, max(1, distinct_texts))
+def cluster_count(rows: Column, distinct_texts: Column) -> Column:
+    """The number of clusters for so many rows and different texts."""
+    size = F.lit(fixed.LARGEST_CLUSTER_COUNT)
+    for limit, count in reversed(fixed.CLUSTER_POLICY):
+        size = F.when(rows < limit, count).otherwise(size)
+    return F.least(size, rows, F.greatest(F.lit(1), distinct_texts))
 
 
 def unit_length(embedding: str) -> Column:
@@ -47,41 +50,38 @@ def embed(reviews: DataFrame, load_model: Callable[[], Callable], text: str = "t
     return reviews.withColumn("_raw", predict(text)).withColumn("embedding", unit_length("_raw")).drop("_raw")
 
 
+Placing = Callable[[DataFrame], DataFrame]
+
+
 def kmeans(
     vectors: DataFrame, k: int, seed: int = fixed.CLUSTER_SEED, restarts: int = fixed.CLUSTER_RESTARTS,
     iterations: int = fixed.CLUSTER_ITERATIONS,
-) -> DataFrame:
-    """(row_no, topic_id) of the cheapest of several seeded runs over ``features``.
+) -> Placing:
+    """The cheapest of several seeded runs over ``features``: adds the topic_id of rows with ``features``.
 
-    The vectors are held once for all runs; they come from a stored table, so a
-    lost executor re-reads its share.
+    All runs share their passes over the vectors, which are read from a stored table.
     """
     if k == 1:
-        return vectors.select("row_no", F.lit(0).alias("topic_id"))
-    held = vectors.select("row_no", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = None
-        for run in range(restarts):
-            model = KMeans(k=k, seed=seed + run, maxIter=iterations, featuresCol="features", predictionCol="topic_id").fit(held)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return materialise(best.transform(held).select("row_no", "topic_id"), "kmeans")
-    finally:
-        held.unpersist()
+        return lambda rows: rows.withColumn("topic_id", F.lit(0))
+    return fit(vectors, k, [seed + run for run in range(restarts)], iterations).place
 
 
 def _sizes(reviews: DataFrame) -> tuple[int, int]:
-    """Rows, and distinct texts counted only as far as the cluster policy needs."""
-    rows = reviews.count()
+    """Rows, and the number of clusters that the policy gives them.
+
+    Different texts are counted only as far as the policy needs.
+    """
     texts = reviews.select(F.xxhash64("topic_text").alias("h"), F.sha2("topic_text", 256).alias("s")).distinct()
-    return rows, texts.limit(fixed.LARGEST_CLUSTER_COUNT).count()
+    distinct = texts.limit(fixed.LARGEST_CLUSTER_COUNT).agg(F.count("*").alias("n")).scalar()
+    row = reviews.agg(F.count("*").alias("rows")).select("rows", cluster_count(F.col("rows"), distinct).alias("k")).first()
+    return row.rows, row.k
 
 
 def discover_topics(
     reviews: DataFrame, mode: str = "auto", load_embedding_model: Callable[[], Callable] | None = None,
     embedding: str | None = None, stop_words: Sequence[str] | None = None,
     sentences: Sequence[str] = fixed.CONTEXT_SENTENCES, restarts: int = fixed.CLUSTER_RESTARTS,
-    clusters: int | None = None, smallest_topic: int | None = None,
+    clusters: int | None = None, smallest_topic: int | None = None, iterations: int = fixed.CLUSTER_ITERATIONS,
 ) -> Topics:
     """Topics by density (``auto``), k-means on embeddings, or k-means on words.
 
@@ -90,45 +90,55 @@ def discover_topics(
     ``smallest_topic`` set the number of k-means topics and the least size of a
     density topic; by default both follow the number of rows.
     """
-    spaced = materialise(reviews.withColumn("topic_text", tx.topic_text(F.col("review_text"), sentences)), "topic_text")
-    rows, distinct = _sizes(spaced)
+    spaced = reviews.drop("topic_id", "topic").withColumn("topic_text", tx.topic_text(F.col("review_text"), sentences))
+    if embedding is not None and mode != "offline":
+        spaced = spaced.withColumn(EMBEDDING, unit_length(embedding))
+    spaced = late.stored(spaced, "topic_text")
+    rows, policy = _sizes(spaced)
     if rows == 0:
         raise ValueError("No valid reviews remain. Upload reviews containing text.")
     warnings: list[str] = []
     words = lexical.lexical_features(spaced, stop_words)
-    embedded = _embeddings(spaced, mode, load_embedding_model, embedding, warnings)
-    assigned, method = None, "TF-IDF + KMeans (lexical fallback)"
+    embedded = _embedded(spaced, mode, load_embedding_model, warnings)
+    narrow = None if embedded is None else embedded.select("row_no", F.col(EMBEDDING).alias("embedding"))
+    placed, method = None, "TF-IDF + KMeans (lexical fallback)"
     if embedded is not None and mode == "auto" and rows >= fixed.DENSITY_MINIMUM_ROWS:
-        assigned = density.density_topics(embedded, smallest_topic or density.minimum_topic_size(rows))
-        if assigned.where("topic_id <> -1").select("topic_id").distinct().limit(2).count() < 2:
-            assigned = None
+        found = density.density_topics(narrow, smallest_topic or density.minimum_topic_size(rows))
+        if found.where("topic_id <> -1").select("topic_id").distinct().limit(2).count() < 2:
             warnings.append("Density topics unavailable or degenerate; using embedding KMeans.")
         else:
             method = "Embeddings + density topics"
-    if assigned is None:
-        k = clusters or cluster_count(rows, distinct)
-        vectors = words.vectors if embedded is None else embedded.select("row_no", array_to_vector("embedding").alias("features"))
-        assigned = kmeans(vectors, k, restarts=restarts)
-        if embedded is not None:
+            places = embedded.select("row_no", late.PLACE).join(found, "row_no").select(late.PLACE, "topic_id")
+            placed = late.with_value(embedded, places, "topic_id")
+    if placed is None:  # the topic follows from the row itself, so no row is moved to meet it
+        k = clusters or policy
+        if embedded is None:
+            placed = kmeans(words.vectors, k, restarts=restarts, iterations=iterations)(words.vectorise(spaced))
+        else:
+            in_row = embedded.withColumn("features", array_to_vector(EMBEDDING))
+            vectors = materialise(in_row.select("row_no", "features"), "vectors")
+            placed = kmeans(vectors, k, restarts=restarts, iterations=iterations)(in_row)
             method = "Embeddings + KMeans"
-    described = describe(assigned, words, embedded)
-    labelled = spaced.drop("topic_id", "topic").join(assigned, "row_no").join(
-        described.select("topic_id", F.col("label").alias("topic")), "topic_id", "left"
-    )
+        placed = placed.drop("features")
+    placed = materialise(placed.drop(late.PLACE, EMBEDDING), "placed")
+    described = describe(placed.select("row_no", "topic_id"), words, narrow)
+    labelled = placed.join(counted_broadcast(described.select("topic_id", F.col("label").alias("topic"))), "topic_id", "left")
     return Topics(labelled, described, method, warnings)
 
 
-def _embeddings(spaced, mode, load_model, column, warnings) -> DataFrame | None:
+EMBEDDING = "_embedding"
+
+
+def _embedded(spaced, mode, load_model, warnings) -> DataFrame | None:
+    """The stored rows with their unit embedding beside the text, or null with a warning."""
     if mode == "offline":
         return None
     try:
-        if column is not None:
-            source = spaced.select("row_no", unit_length(column).alias("embedding"))
-        elif load_model is not None:
-            source = embed(spaced.select("row_no", "topic_text"), load_model).select("row_no", "embedding")
-        else:
+        if EMBEDDING in spaced.columns:
+            return spaced
+        if load_model is None:
             raise LookupError("no embedding model")
-        return materialise(source, "embeddings")
+        return materialise(embed(spaced, load_model).withColumnRenamed("embedding", EMBEDDING), "embeddings")
     except (LookupError, PythonException) as error:  # the model's own; a failed job of Spark's is raised
         warnings.append(f"Semantic model unavailable ({type(error).__name__}); using lexical TF-IDF.")
         return None
@@ -147,17 +157,25 @@ def describe(
 ) -> DataFrame:
     """(topic_id, label, keywords, representative_ids), one row per topic."""
     placed = words.with_topics(assigned)
+    sums = lexical.topic_sums(placed)
     if embedded is None:
-        nearest = lexical.lexical_representatives(placed)
+        nearest = lexical.lexical_representatives(placed, sums=sums)
     else:
         nearest = lexical.embedding_representatives(assigned.join(embedded, "row_no"))
-    topics = lexical.topic_keywords(placed).join(listed_ids(nearest), "topic_id")
+    topics = lexical.topic_keywords(placed, sums=sums).join(listed_ids(nearest), "topic_id")
     return materialise(topics.select("topic_id", "label", "keywords", "representative_ids"), "topics")
 
 
-def text_changes(reviews: DataFrame) -> DataFrame:
-    """How many modelling texts differ from the review text they came from."""
+def _texts_sum(reviews: DataFrame) -> Column:
+    """A sum over (row, text) that does not depend on the order of rows."""
+    return reviews.agg(F.coalesce(F.sum(F.xxhash64("row_no", "review_text").cast("decimal(38,0)")), F.lit(0))).scalar()
+
+
+def text_changes(reviews: DataFrame, source: DataFrame) -> DataFrame:
+    """How many modelling texts differ from the review text they came from, and whether the
+    review texts are still those of ``source``."""
     return reviews.agg(
         F.count("*").alias("reviews"),
         F.count_if(F.col("topic_text") != F.col("review_text")).alias("reviews_changed"),
-    )
+        F.coalesce(F.sum(F.xxhash64("row_no", "review_text").cast("decimal(38,0)")), F.lit(0)).alias("_sum"),
+    ).withColumn("review_text_preserved", F.col("_sum") == _texts_sum(source)).drop("_sum")

@@ -65,13 +65,19 @@ def analyze(
     load_embedding_model: Callable | None = None, embedding: str | None = None,
     terms: Sequence[str] = fixed.COMMERCIAL_TERMS, case_sensitive_evidence: bool = True,
     stop_words: Sequence[str] | None = None, sentences: Sequence[str] = fixed.CONTEXT_SENTENCES,
-    restarts: int = fixed.CLUSTER_RESTARTS,
+    restarts: int = fixed.CLUSTER_RESTARTS, iterations: int = fixed.CLUSTER_ITERATIONS, clusters: int | None = None,
+    smallest_topic: int | None = None,
 ) -> Analysis:
-    """The whole analysis of an upload with row numbers."""
+    """The whole analysis of an upload with row numbers.
+
+    Review texts are stored, read again and scanned, but never shuffled: what is found on
+    narrow columns comes back to the stored rows (``operators.late``).
+    """
     prepared = clean.prepare(upload)
     quality = materialise(clean.quality_report(prepared, clean.uploaded_columns(upload)), "quality")
     cleaned = materialise(clean.clean(prepared), "clean")
-    found = topics.discover_topics(cleaned, mode, load_embedding_model, embedding, stop_words, sentences, restarts)
+    found = topics.discover_topics(
+        cleaned, mode, load_embedding_model, embedding, stop_words, sentences, restarts, clusters, smallest_topic, iterations)
     felt, mood = sentiment.analyze_sentiment(found.reviews, load_sentiment_model)
     reviews = materialise(with_flags(felt, terms, case_sensitive_evidence), "reviews")
     narrow = reviews.select(*NARROW)

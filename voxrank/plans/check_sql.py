@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from voxrank import fixed_values as fixed
 from voxrank.plans import registry as reg
+from voxrank.sources import corpus
 
 W = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -123,8 +124,10 @@ untidy AS (
       WHEN doc_id % 7 = 0 THEN '  ' || translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '  ' ELSE text END AS comment,
     CASE WHEN doc_id % 11 = 0 THEN 'five' WHEN doc_id % 13 = 0 THEN '9' WHEN doc_id % 5 = 0 THEN '2.5'
       WHEN doc_id % 3 = 0 THEN CAST(doc_id % 5 + 1 AS VARCHAR) END AS stars,
-    CASE WHEN doc_id % 19 = 0 THEN 'soon' WHEN doc_id % 4 < 3 THEN 'written' END AS written,
-    CASE WHEN doc_id % 19 <> 0 AND doc_id % 4 < 3 THEN CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS TIMESTAMP) END AS date
+    CASE WHEN doc_id % 19 = 0 THEN 'soon' WHEN doc_id % {len(corpus.DATE_NOTATIONS) + 1} < {len(corpus.DATE_NOTATIONS)} THEN 'written' END AS written,
+    CASE WHEN doc_id % 19 <> 0 AND doc_id % {len(corpus.DATE_NOTATIONS) + 1} < {len(corpus.DATE_NOTATIONS)}
+      THEN CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) AS TIMESTAMP) + CASE WHEN doc_id % {len(corpus.DATE_NOTATIONS) + 1} IN ({
+        ", ".join(str(i) for i, n in enumerate(corpus.DATE_NOTATIONS) if "50" in n)}) THEN INTERVAL 950 MINUTE ELSE INTERVAL 0 MINUTE END END AS date
   FROM documents),
 parsed AS (
   SELECT *, {_collapsed("coalesce(comment, '')")} AS review_text, printf('R%06d', row_no + 1) AS review_id,
@@ -195,6 +198,11 @@ EVIDENCE = _lexical(SCORES, "review_text", "clean") + _pool(
     "SELECT topic_id, printf('R%06d', row_no + 1) AS review_id, position FROM nearest"
 )
 
+# every second topic keeps only the first of its own representatives beside foreign ones
+OWN_EVIDENCE = _lexical(SCORES, "review_text", "clean") + _pool(
+    "SELECT topic_id, printf('R%06d', row_no + 1) AS review_id, position FROM nearest WHERE position <= CASE WHEN topic_id % 2 = 1 THEN 1 ELSE 3 END"
+)
+
 SENTENCE = """'Rank ' || impact_rank || ' of ' || (SELECT count(*) FROM scores) || '; ' || review_count || ' reviews ('
   || format('{:.1f}', share_pct) || '% share of voice); ' || format('{:.1f}', negative_pct) || '% negative; Business Impact Score '
   || format('{:.2f}', impact_score) || '/10; purchase relevance ' || format('{:.2f}', purchase_relevance_score)
@@ -269,29 +277,34 @@ judged AS (
     CASE lower(trim(sentiment_correct)) WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 END AS felt_right
   FROM validation v JOIN now_run n USING (row_no))"""
 
-POOL = SCORES + _pool(
-    "SELECT topic_id, printf('R%06d', min(row_no) + 1) AS review_id, 1 AS position FROM clean GROUP BY topic_id"
-)
 _REASON = fixed.RESPONSE_REASONS
-RESPONSES = POOL + f""",
-turns AS (SELECT conv_id * 1000 + turn AS response_id, conv_id % 23 AS topic_id, (conv_id * 7 + turn) % 12 AS kind, text FROM conversations),
+RESPONSES = EVIDENCE + f""",
+turns AS (SELECT conv_id * 1000 + turn AS response_id, conv_id % 23 AS topic_id, (conv_id * 7 + turn) % 14 AS kind, coalesce(text, '') AS text FROM conversations),
 checked AS (
-  SELECT *, CASE WHEN kind IN (7, 11) THEN {_quoted(_REASON['json'])} WHEN kind = 2 THEN {_quoted(_REASON['fields'])}
+  SELECT *, CASE WHEN kind IN (7, 11) THEN {_quoted(_REASON['json'])} WHEN kind IN (2, 13) THEN {_quoted(_REASON['fields'])}
     WHEN kind = 6 THEN {_quoted(_REASON['summary'])} WHEN kind = 3 THEN {_quoted(_REASON['count'])}
     WHEN kind = 8 THEN {_quoted(_REASON['item'])}
-    WHEN kind = 10 OR topic_id NOT IN (SELECT topic_id FROM scores) THEN {_quoted(_REASON['reference'])}
-    WHEN kind = 0 AND (length(text) NOT BETWEEN 12 AND 700 OR {FORBIDDEN.format('text')}) THEN {_quoted(_REASON['claim'] + 'finding')}
+    WHEN kind IN (10, 12) OR topic_id NOT IN (SELECT topic_id FROM scores) THEN {_quoted(_REASON['reference'])}
+    WHEN (length(text) NOT BETWEEN 12 AND 700 OR {FORBIDDEN.format('text')}) THEN {_quoted(_REASON['claim'] + 'finding')}
     WHEN kind IN (5, 9) THEN {_quoted(_REASON['citations'])}
     WHEN kind = 4 THEN {_quoted(_REASON['reference'])} ELSE '' END AS reason FROM turns),
-answers AS (SELECT *, reason = '' AS accepted FROM checked)"""
+answers AS (
+  SELECT *, reason = '' AS accepted, CASE WHEN reason = '' THEN '' WHEN kind IN (7, 11) THEN 'JSONDecodeError' WHEN kind IN (12, 13) THEN 'TypeError' ELSE 'ValueError' END AS error
+  FROM checked)"""
 
 VECTORS = """
 vectors AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 units AS (SELECT vec_id AS row_no, label AS topic_id, [x / sqrt(list_sum([y * y FOR y IN e])) FOR x IN e] AS e FROM vectors)"""
 
-GRID = VECTORS + f""",
-cells AS (SELECT row_no, CAST(floor((e[1] + 1.0::DOUBLE) / {reg.GRID_WIDTH}::DOUBLE) AS BIGINT) AS x,
-  CAST(floor((e[2] + 1.0::DOUBLE) / {reg.GRID_WIDTH}::DOUBLE) AS BIGINT) AS y FROM units),
+
+
+def _rate(letter: str) -> str:
+    return f"((length(text) - length(replace(text, '{letter}', ''))) * 1.0::DOUBLE / greatest(length(text), 1))"
+
+
+GRID = f"""
+cells AS (SELECT doc_id AS row_no, CAST(floor({_rate(reg.GRID_LETTERS[0])} / {reg.GRID_WIDTH}::DOUBLE) AS BIGINT) AS x,
+  CAST(floor({_rate(reg.GRID_LETTERS[1])} / {reg.GRID_WIDTH}::DOUBLE) AS BIGINT) AS y FROM documents WHERE text IS NOT NULL),
 occupied AS (SELECT x, y, (x + 1) + (y + 1) * 4096 AS cell, count(*) AS n FROM cells GROUP BY x, y),
 counted AS (
   SELECT a.x, a.y, a.cell, a.n, sum(b.n) AS around FROM occupied a JOIN occupied b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1
@@ -311,6 +324,33 @@ numbered AS (
   WHERE component IS NOT NULL GROUP BY component HAVING count(*) >= {reg.GRID_MINIMUM})"""
 
 
+_AXES = [f"x{i}" for i in range(len(reg.POINT_LETTERS))]
+NEAR = f"""
+rates AS (SELECT doc_id AS row_no, {", ".join(f"{_rate(c)} AS {x}" for c, x in zip(reg.POINT_LETTERS, _AXES))} FROM documents WHERE text IS NOT NULL),
+points AS (SELECT min(row_no) AS id, count(*) AS weight, {", ".join(_AXES)} FROM rates GROUP BY {", ".join(_AXES)}),
+pairs AS (
+  SELECT a.id, a.weight, b.id AS other, b.weight AS other_weight, {" + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in _AXES)} AS square
+  FROM points a JOIN points b ON a.id <> b.id),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY square, other) AS place FROM pairs QUALIFY place <= {fixed.DENSITY_NEIGHBOURS}),
+reached AS (
+  SELECT id, sqrt(square) AS distance, weight + sum(other_weight) OVER (PARTITION BY id ORDER BY place) AS held FROM near),
+cores AS (
+  SELECT p.id, p.weight, CASE WHEN p.weight >= {reg.DENSITY_MINIMUM} THEN 0.0::DOUBLE ELSE min(distance) FILTER (held >= {reg.DENSITY_MINIMUM}) END AS core
+  FROM points p LEFT JOIN reached USING (id) GROUP BY p.id, p.weight)"""
+
+CUT = NEAR + f""",
+links AS (
+  SELECT DISTINCT n.id AS a, n.other AS b FROM near n JOIN cores c ON c.id = n.id JOIN cores d ON d.id = n.other
+  WHERE greatest(sqrt(square), c.core, d.core) <= {reg.CUT_DISTANCE}::DOUBLE AND c.core IS NOT NULL AND d.core IS NOT NULL),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT id, id FROM points UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+parts AS (SELECT a AS id, min(b) AS part FROM reach GROUP BY a),
+numbered AS (
+  SELECT part, row_number() OVER (ORDER BY sum(weight) DESC, part) - 1 AS topic_id FROM parts JOIN points USING (id)
+  GROUP BY part HAVING sum(weight) >= {reg.DENSITY_MINIMUM})"""
+
+
 def _shown(columns: str, digits: int = 6) -> str:
     """``a b:`` becomes a, and b rounded (a trailing colon marks a double)."""
     return ", ".join(
@@ -361,7 +401,11 @@ CHECKS = {
         count(*) FILTER (stars IS NULL) AS missing_rating, count(*) FILTER (written IS NULL) AS missing_date,
         count(*) FILTER (product IS NULL) AS missing_product FROM staged""",
     "topic_text": f"WITH {TOPIC_TEXT} SELECT review_id, topic_text, topic_text <> review_text AS changed FROM spaced",
-    "topic_text_changes": f"WITH {TOPIC_TEXT} SELECT count(*) AS reviews, count(*) FILTER (topic_text <> review_text) AS reviews_changed FROM spaced",
+    "topic_text_changes": f"""WITH {TOPIC_TEXT}, runs AS (
+          SELECT true AS kept_as_is, review_text AS now, * FROM spaced UNION ALL
+          SELECT false, CASE WHEN row_no % 97 = 5 THEN lower(topic_text) ELSE review_text END, * FROM spaced)
+        SELECT count(*) AS reviews, count(*) FILTER (topic_text <> now) AS reviews_changed, bool_and(now = review_text) AS review_text_preserved, kept_as_is
+        FROM runs GROUP BY kept_as_is""",
     "commercial_mentions": f"""WITH {CLEAN} SELECT topic_id, count(*) FILTER (is_commercial) AS any_case,
         count(*) FILTER (cites_commerce) AS as_written FROM clean GROUP BY topic_id""",
     "forbidden_claims": f"SELECT conv_id, turn, {FORBIDDEN.format('text')} AS forbidden FROM conversations",
@@ -442,6 +486,9 @@ CHECKS |= {
     "cluster_policy": f"""WITH {TOPIC_TEXT} SELECT topic_id, count(*) AS reviews, least(CASE WHEN count(*) < 500 THEN 5 WHEN count(*) < 2000 THEN 8
         WHEN count(*) < 10000 THEN 12 ELSE 15 END, count(*), greatest(1, count(DISTINCT topic_text)))::BIGINT AS clusters FROM spaced GROUP BY topic_id""",
     "density_grid_topics": f"WITH RECURSIVE {GRID} SELECT row_no, coalesce(topic_id, -1)::BIGINT AS topic_id FROM placed LEFT JOIN numbered USING (component)",
+    "density_core_distances": f"WITH {NEAR} SELECT id AS row_no, weight AS reviews, round(core, 9) AS core FROM cores",
+    "density_cut_topics": f"""WITH RECURSIVE {CUT} SELECT row_no, coalesce(topic_id, -1)::BIGINT AS topic_id
+        FROM rates JOIN points USING ({", ".join(_AXES)}) JOIN parts USING (id) LEFT JOIN numbered USING (part)""",
     "lexicon_names": f"""WITH {TOPIC_TEXT}, folded AS (SELECT topic_id, {_key('topic_text')} AS f FROM spaced),
         totals AS (SELECT topic_id, {", ".join(f'sum({OCCURRENCES[n]}) AS n{i}' for i, n in enumerate(_LABELS))} FROM folded GROUP BY topic_id)
         SELECT topic_id, CASE WHEN greatest({", ".join(f'n{i}' for i in range(len(_LABELS)))}) = 0 THEN 'Other / mixed' {" ".join(
@@ -452,6 +499,7 @@ CHECKS |= {
           coalesce(a.shown, d.shown, topic) AS business_topic
         FROM scores LEFT JOIN display d ON d.label = topic LEFT JOIN areas a ON a.label = coalesce(d.shown, topic)""",
     "supporting_rows": f"WITH {CLEAN}{SUPPORT} SELECT topic_id, kind, position, review_id FROM support",
+    "own_evidence_pool": f"WITH {OWN_EVIDENCE} SELECT topic_id, string_agg(review_id, ',' ORDER BY place) AS review_ids FROM pool GROUP BY topic_id",
     "evidence_pool": f"WITH {EVIDENCE} SELECT topic_id, string_agg(review_id, ',' ORDER BY place) AS review_ids FROM pool GROUP BY topic_id",
     "evidence_topics": f"""WITH {EVIDENCE} SELECT topic_id, s.topic AS topic_name, impact_rank, review_count, {_python_round('share_pct')} AS share_of_voice_pct,
         {", ".join(f"{_python_round(f'{s.lower()}_pct')} AS {s.lower()}_pct" for s in fixed.SENTIMENTS)}, {_python_round('average_sentiment')} AS average_score,
@@ -476,9 +524,9 @@ CHECKS |= {
         SELECT 'documents' AS dataset, false AS synthetic_data, {_quoted(fixed.BRIEF_METHOD)} AS generation_method, {SUMMARY} AS executive_summary, category,
         finding, evidence, implication AS business_implication, action AS recommended_action, review_ids, supporting_reviews, sources
         FROM insights JOIN safe USING (insight_id)""",
-    "recommendation_checks": f"WITH {RESPONSES} SELECT response_id, accepted, reason FROM answers",
+    "recommendation_checks": f"WITH {RESPONSES} SELECT response_id, accepted, reason, error FROM answers",
     "accepted_recommendations": f"""WITH {RESPONSES} SELECT response_id, 'L' || k.place AS insight_id, category, topic_id, topic, impact_rank AS rank,
-        CASE WHEN kind = 0 THEN text ELSE 'The supplied reviews describe friction that merits validation.' END AS finding, {SENTENCE} AS evidence,
+        text AS finding, {SENTENCE} AS evidence,
         'The pattern may affect the experience and warrants review.' AS implication, 'Inspect the cited experience and test a focused response.' AS action,
         (SELECT string_agg(review_id, ',' ORDER BY place) FROM (SELECT * FROM pool p WHERE p.topic_id = a.topic_id ORDER BY place LIMIT 2)) AS review_ids
         FROM answers a JOIN scores USING (topic_id), (VALUES (1, 'Product'), (2, 'Pricing'), (3, 'Marketing')) k(place, category) WHERE accepted""",
@@ -486,14 +534,16 @@ CHECKS |= {
         CASE WHEN accepted THEN 'The supplied evidence suggests a focused issue that merits validation.' ELSE {SUMMARY} END AS summary,
         CASE WHEN accepted THEN {_quoted(fixed.MODEL_BRIEF_METHOD)} ELSE {_quoted(fixed.BRIEF_METHOD)} END AS method,
         CASE WHEN kind = 11 THEN {_quoted(fixed.NO_RESPONSE_WARNING)} WHEN accepted THEN ''
-          WHEN kind = 7 THEN {_quoted(fixed.FAILED_RESPONSE_WARNING.format('JSONDecodeError'))}
-          ELSE {_quoted(fixed.FAILED_RESPONSE_WARNING.format('ValueError'))} END AS warning FROM answers""",
-    "proposed_labels": f"""WITH {RAW}, offers AS (SELECT item_id AS proposal_id, text, item_id % 5 AS kind,
-        CASE WHEN item_id % 5 = 2 THEN text ELSE 'Topic ' || left(text, 9) END AS name FROM benchmark),
-        judged AS (SELECT *, kind IN (0, 2) AND length(name) <= 80 AND NOT contains(name, chr(10)) AS accepted FROM offers),
-        old AS (SELECT topic_id, min(topic) AS label FROM raw GROUP BY topic_id)
-        SELECT proposal_id, topic_id, CASE WHEN NOT accepted THEN label WHEN topic_id = 5 THEN name ELSE 'Plain name' END AS label, accepted
-        FROM judged, old""",
+          ELSE replace({_quoted(fixed.FAILED_RESPONSE_WARNING)}, '{{}}', error) END AS warning FROM answers""",
+    "proposed_labels": f"""WITH {RAW}, old AS (SELECT topic_id, min(topic) AS label FROM raw GROUP BY topic_id),
+        offers AS (SELECT item_id AS proposal_id, item_id % 5 AS kind, CASE WHEN item_id % 5 = 2 THEN text ELSE 'Topic ' || md5(text) END AS name FROM benchmark),
+        judged AS (SELECT *, kind IN (0, 2) AND length(name) <= 80 AND NOT contains(name, chr(10)) AND trim(name) <> '' AS accepted FROM offers)
+        SELECT proposal_id, accepted, topic_id, CASE WHEN topic_id = (SELECT min(topic_id) FROM old) THEN name WHEN topic_id IS NOT NULL THEN 'Plain name' END AS label,
+          old.label AS old_label FROM judged LEFT JOIN old ON accepted""",
+    "renamed_topics": f"""WITH {RAW}, old AS (SELECT topic_id, min(topic) AS label FROM raw GROUP BY topic_id
+          UNION ALL SELECT {fixed.OUTLIER_TOPIC}, {_quoted(fixed.OUTLIER_LABEL)})
+        SELECT topic_id, CASE WHEN topic_id >= 0 THEN 'New ' || label ELSE label END AS label, '1' AS proposal FROM old
+        UNION ALL SELECT topic_id, label, '2' FROM old""",
     "priority_table": f"WITH {SCORES} SELECT {_shown('topic review_count share_pct: negative_pct: impact_score: trend change_pp:')} FROM scores",
     "reach_points": f"""WITH {SCORES} SELECT {_shown('topic share_pct: negative_pct: impact_score: review_count')},
         CASE WHEN impact_rank <= 3 THEN topic ELSE '' END AS marker FROM scores""",
@@ -511,10 +561,14 @@ CHECKS |= {
         SELECT topic_id, 'Trend growth', trend_growth_score, '15%' FROM scores)""",
     "sentiment_mix": f"WITH {SCORES} SELECT topic_id, sentiment, round(share, 6) AS share_pct FROM (" + " UNION ALL ".join(
         f"SELECT topic_id, '{s}' AS sentiment, {s.lower()}_pct AS share FROM scores" for s in fixed.SENTIMENTS) + ")",
-    "drill_down": f"""WITH {SCORES} SELECT topic_id, topic, impact_rank || ' of ' || (SELECT count(*) FROM scores) AS rank_text,
+    "drill_down": f"""WITH {LEXICAL + _scores()}, words AS (
+          SELECT topic_id, string_agg(term, ', ' ORDER BY place) AS keywords FROM (
+            SELECT topic_id, term, row_number() OVER (PARTITION BY topic_id ORDER BY round(sum(weight), 9) DESC, term) AS place
+            FROM entries GROUP BY topic_id, term QUALIFY place <= 8) GROUP BY topic_id)
+        SELECT topic_id, topic, impact_rank || ' of ' || (SELECT count(*) FROM scores) AS rank_text,
         format('{{:.2f}}', impact_score) || ' / 10' AS score_text, {ONE_DECIMAL.format('share_pct')} AS share_text,
         {ONE_DECIMAL.format('negative_pct')} AS negative_text,
-        coalesce(format('{{:+.1f}}', change_pp) || ' pp', 'Unavailable') AS change_text FROM scores""",
+        coalesce(format('{{:+.1f}}', change_pp) || ' pp', 'Unavailable') AS change_text, keywords FROM scores JOIN words USING (topic_id)""",
     "topic_voices": f"""WITH {EVIDENCE} SELECT r.topic_id, c.row_no, c.review_id, c.review_text, c.sentiment_label, c.source
         FROM representatives r JOIN clean c USING (review_id)""",
     "coverage_metrics": f"""WITH {RERUN} SELECT round(avg(CASE WHEN sentiment_label <> 'Unknown' THEN 100.0::DOUBLE ELSE 0 END), 6) AS sentiment_coverage_pct,

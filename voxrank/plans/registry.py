@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from voxrank import fixed_values as fixed
 from voxrank.functions import text as tx
 from voxrank.operators import (
-    brief, clean, density, evaluate, evidence, impact, lexical, naming, responses, sentiment, topics, trends,
+    brief, clean, density, evaluate, evidence, impact, lexical, naming, neighbours, responses, sentiment,
+    topics, trends,
 )
 from voxrank.plans import analyze, evaluation, views
 from voxrank.session import materialise, store
@@ -37,8 +38,14 @@ LEXICON = {
 DISPLAY = {"src0": "Opening", "src1": "Delivery", "src2": "Returns", "src3": "Sizing", "src7": "Comfort & fit"}
 AREAS = {"Opening": "Store", "Delivery": "Logistics", "Returns": "Logistics", "src4": "Fabric", "src5": "Fabric"}
 CLASS_NAMES = ["LABEL_0", "LABEL_1", "LABEL_2"]
-GRID_WIDTH = 0.1
+GRID_WIDTH = 0.01
 GRID_MINIMUM = 8
+GRID_LETTERS = "en"
+# Letters whose rates place a document among others of its language and kind.
+POINT_LETTERS = "enras"
+VECTOR_LETTERS = "etaonirsuldcmgph"
+DENSITY_MINIMUM = 8
+CUT_DISTANCE = 0.012
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,8 +140,12 @@ def topic_text(spark, sf):
 
 @query
 def topic_text_changes(spark, sf):
-    rows = clean.clean(_prepared(spark, sf).withColumn("topic_text", tx.topic_text(F.col("review_text"), SENTENCES)))
-    return topics.text_changes(rows)
+    """Changes of the modelling text, for reviews kept as they were and for some that were not."""
+    before = _clean(spark, sf)
+    after = before.withColumn("topic_text", tx.topic_text(F.col("review_text"), SENTENCES))
+    touched = after.withColumn("review_text", F.when(F.col("row_no") % 97 == 5, F.lower("topic_text")).otherwise(F.col("review_text")))
+    return topics.text_changes(after, before).withColumn("kept_as_is", F.lit(True)).unionByName(
+        topics.text_changes(touched, before).withColumn("kept_as_is", F.lit(False)))
 
 
 @query
@@ -309,43 +320,65 @@ def cluster_policy(spark, sf):
     groups = _spaced(spark, sf).groupBy("topic_id").agg(
         F.count("*").alias("reviews"), F.count_distinct("topic_text").alias("texts")
     )
-    size = F.lit(fixed.LARGEST_CLUSTER_COUNT)
-    for limit, k in reversed(fixed.CLUSTER_POLICY):
-        size = F.when(F.col("reviews") < limit, k).otherwise(size)
-    return _rounded(groups.select("topic_id", "reviews", F.least(size, F.col("reviews"), F.greatest(F.lit(1), F.col("texts"))).alias("clusters")))
+    count = topics.cluster_count(F.col("reviews"), F.col("texts"))
+    return _rounded(groups.select("topic_id", "reviews", count.cast("int").alias("clusters")))
 
 
 @query
 def kmeans_word_topics(spark, sf):
-    found = topics.discover_topics(_spaced(spark, sf).drop("topic_id", "topic", "topic_text"), "offline",
-                                   stop_words=STOP_WORDS, sentences=SENTENCES)
-    return found.topics.join(found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews")), "topic_id")
+    rows = _spaced(spark, sf).drop("topic_id", "topic", "topic_text")
+    return _described(topics.discover_topics(rows, "offline", stop_words=STOP_WORDS, sentences=SENTENCES))
 
 
 def _embedded_documents(spark, sf) -> DataFrame:
-    """Each embedding with the text of the document of the same id."""
+    """Every document with the letter rates of its whole text as an embedding."""
     texts = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("row_no"), F.col("text").alias("review_text"))
-    ids = _vectors(spark, sf).drop("topic_id").join(texts, "row_no")
-    return materialise(ids.withColumn("review_id", clean.review_id(F.col("row_no"))), "embedded")
+    vectors = corpus.letter_rates(spark, sf, VECTOR_LETTERS).withColumnRenamed("point", "embedding")
+    return materialise(texts.join(vectors, "row_no").withColumn("review_id", clean.review_id(F.col("row_no"))), "embedded")
+
+
+def _described(found: topics.Topics) -> DataFrame:
+    """Topics with their sizes, and how they were found."""
+    sizes = found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews"))
+    return found.topics.join(sizes, "topic_id").withColumns({
+        "method": F.lit(found.method), "warnings": F.lit(" ".join(found.warnings)),
+    })
 
 
 @query
 def kmeans_embedding_topics(spark, sf):
-    found = topics.discover_topics(_embedded_documents(spark, sf), "kmeans", embedding="embedding", stop_words=STOP_WORDS)
-    return found.topics.join(found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews")), "topic_id")
+    return _described(topics.discover_topics(_embedded_documents(spark, sf), "kmeans", embedding="embedding", stop_words=STOP_WORDS))
 
 
 @query
 def density_embedding_topics(spark, sf):
-    found = topics.discover_topics(_embedded_documents(spark, sf), "auto", embedding="embedding", stop_words=STOP_WORDS)
-    return found.topics.join(found.reviews.groupBy("topic_id").agg(F.count("*").alias("reviews")), "topic_id")
+    return _described(topics.discover_topics(_embedded_documents(spark, sf), "auto", embedding="embedding", stop_words=STOP_WORDS))
+
+
+def _document_points(spark, sf) -> DataFrame:
+    return corpus.letter_rates(spark, sf, POINT_LETTERS)
+
+
+@query
+def density_core_distances(spark, sf):
+    """Each different point's rows and the distance within which it has enough rows."""
+    points = materialise(density.distinct_points(_document_points(spark, sf)), "points")
+    near = materialise(neighbours.nearest_neighbours(points, fixed.DENSITY_NEIGHBOURS), "near")
+    cores = density.core_distances(near, points, DENSITY_MINIMUM)
+    return _rounded(points.select(F.col("id").alias("row_no"), F.col("weight").alias("reviews"), "id").join(cores, "id").drop("id"), 9)
+
+
+@query
+def density_cut_topics(spark, sf):
+    """The cluster tree of all documents cut at one distance."""
+    return _rounded(density.topics_within(_document_points(spark, sf), DENSITY_MINIMUM, CUT_DISTANCE))
 
 
 @query
 def density_grid_topics(spark, sf):
-    """Density topics over two embedding coordinates at a fixed grid width."""
-    points = _vectors(spark, sf).select("row_no", F.slice("embedding", 1, 2).alias("point"))
-    return _rounded(density.topics_at_width(points, [-1.0, -1.0], [1.0, 1.0], GRID_WIDTH, GRID_MINIMUM))
+    """Grid topics over two letter rates, which lie between 0 and 1."""
+    points = corpus.letter_rates(spark, sf, GRID_LETTERS)
+    return _rounded(density.topics_at_width(points, [0.0, 0.0], [1.0, 1.0], GRID_WIDTH, GRID_MINIMUM))
 
 
 @query
@@ -387,6 +420,17 @@ def evidence_pool(spark, sf):
     return _rounded(evidence.evidence_pool(ids).select("topic_id", F.array_join("review_ids", ",").alias("review_ids")))
 
 
+@query
+def own_evidence_pool(spark, sf):
+    """Pools when every second topic lists another topic's representatives: only its own reviews count."""
+    reviews, _, ids = _evidence(spark, sf)
+    beside = ids.select((F.col("topic_id") + 1).alias("topic_id"), F.col("representative").alias("foreign"))
+    mixed = ids.join(beside, "topic_id", "left").withColumn("representative", F.when(
+        F.col("topic_id") % 2 == 1, F.concat("foreign", F.slice("representative", 1, 1))).otherwise(F.col("representative")))
+    pool = evidence.evidence_pool(evidence.own_ids(mixed.drop("foreign"), reviews))
+    return _rounded(pool.select("topic_id", F.array_join("review_ids", ",").alias("review_ids")))
+
+
 @query
 def evidence_topics(spark, sf):
     reviews, scores, ids = _evidence(spark, sf)
@@ -466,25 +510,22 @@ def insight_export(spark, sf):
 
 # --- Written recommendations -------------------------------------------------
 
-def _small_pool(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(scores, pool) with the first rows of each topic as representatives."""
-    narrow = _narrow(spark, sf)
-    scores = materialise(analyze.score(narrow)[2], "scores")
-    first = narrow.groupBy("topic_id").agg(F.array(F.format_string("R%06d", F.min("row_no") + 1)).alias("representative_ids"))
-    pool = evidence.evidence_pool(evidence.ids_by_kind(first, evidence.supporting_rows(narrow)))
-    return scores, materialise(pool, "pool")
+def _real_pool(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(scores, pool) of the evidence that a writer would be given."""
+    _, scores, ids = _evidence(spark, sf)
+    return scores, materialise(evidence.evidence_pool(ids), "pool")
 
 
 def _written_responses(spark, sf, pool: DataFrame) -> DataFrame:
-    """One response per conversation turn, right or wrong in a dozen ways."""
+    """One response per conversation turn, its text as the finding, right or wrong in a dozen ways."""
     turns = corpus.table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"), (F.col("conv_id") % 23).cast("int").alias("topic_id"),
-        ((F.col("conv_id") * 7 + F.col("turn")) % 12).alias("kind"), "text",
+        ((F.col("conv_id") * 7 + F.col("turn")) % 14).alias("kind"), "text",
     ).join(pool, "topic_id", "left")
     kind = F.col("kind")
     ids = F.coalesce(F.slice("review_ids", 1, 2), F.array(F.lit("R000001")))
     ids = F.when(kind == 5, F.array(F.lit("R999999"))).when(kind == 9, F.concat(ids, ids)).otherwise(ids)
-    finding = F.when(kind == 0, F.col("text")).otherwise(F.lit("The supplied reviews describe friction that merits validation."))
+    finding = F.coalesce("text", F.lit(""))
 
     def item(category: Column) -> Column:
         return F.struct(
@@ -507,25 +548,28 @@ def _written_responses(spark, sf, pool: DataFrame) -> DataFrame:
         .when(kind == 8, F.replace(plain, F.lit('"category"'), F.lit('"kind":1,"category"')))
         .when(kind == 10, F.regexp_replace(plain, r'"topic_id":(\d+)', '"topic_id":"$1"'))
         .when(kind == 11, F.lit(None))
+        .when(kind == 12, F.regexp_replace(plain, r'"topic_id":(\d+)', '"topic_id":[$1]'))
+        .when(kind == 13, F.concat(F.lit("["), plain, F.lit("]")))
         .otherwise(plain)
     ).alias("content")), "written")
 
 
 @query
 def recommendation_checks(spark, sf):
-    _, pool = _small_pool(spark, sf)
-    return responses.validate_responses(responses.parse_responses(_written_responses(spark, sf, pool)), pool).withColumn("reason", F.coalesce("reason", F.lit("")))
+    _, pool = _real_pool(spark, sf)
+    return responses.validate_responses(responses.parse_responses(_written_responses(spark, sf, pool)), pool).withColumns({
+        c: F.coalesce(c, F.lit("")) for c in ("reason", "error")})
 
 
 @query
 def accepted_recommendations(spark, sf):
-    scores, pool = _small_pool(spark, sf)
+    scores, pool = _real_pool(spark, sf)
     return _listed(responses.accepted_insights(responses.parse_responses(_written_responses(spark, sf, pool)), pool, scores))
 
 
 @query
 def chosen_brief(spark, sf):
-    scores, pool = _small_pool(spark, sf)
+    scores, pool = _real_pool(spark, sf)
     parsed = responses.parse_responses(_written_responses(spark, sf, pool))
     chosen = responses.choose_brief(parsed, pool, brief.brief_summary(scores))
     return chosen.withColumn("warning", F.coalesce("warning", F.lit("")))
@@ -533,15 +577,34 @@ def chosen_brief(spark, sf):
 
 @query
 def proposed_labels(spark, sf):
-    """One proposal per benchmark item, naming all topics, some of them badly."""
-    topics_seen = materialise(_narrow(spark, sf).groupBy("topic_id").agg(F.min("topic").alias("label")), "labels")
-    item = F.col("item_id")
-    offered = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda t: (item % 5 != 1) | (t != 0))
-    name = F.when(item % 5 == 2, F.col("text")).when(item % 5 == 3, F.lit("two\nlines")).otherwise(F.concat(F.lit("Topic "), F.left("text", F.lit(9))))
+    """One proposal per benchmark item, naming all topics, some of them badly; accepted names beside the old ones."""
+    old = materialise(_narrow(spark, sf).groupBy("topic_id").agg(F.min("topic").alias("label")), "labels")
+    kind = F.col("item_id") % 5
+    names = old.select(F.sort_array(F.collect_list("topic_id")).alias("ids"), F.min("topic_id").alias("first"), F.max("topic_id").alias("last"))
+    items = corpus.table(spark, sf, "benchmark").crossJoin(F.broadcast(names))  # one row of topic ids
+    offered = F.filter("ids", lambda t: (kind != 1) | (t != F.col("first")))
+    name = F.when(kind == 2, F.col("text")).when(kind == 3, F.lit("two\nlines")).otherwise(F.concat(F.lit("Topic "), F.md5("text")))
     named = F.map_from_entries(F.transform(offered, lambda t: F.struct(
-        t.cast("string"), F.when((item % 5 == 4) & (t == 3), F.lit(" ")).otherwise(F.when(t == 5, name).otherwise(F.lit("Plain name"))))))
-    proposals = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("proposal_id"), F.to_json(named).alias("content"))
-    return _rounded(naming.check_proposed_labels(proposals, topics_seen))
+        t.cast("string"), F.when((kind == 4) & (t == F.col("last")), F.lit(" ")).otherwise(F.when(t == F.col("first"), name).otherwise(F.lit("Plain name"))))))
+    proposals = items.select(F.col("item_id").alias("proposal_id"), F.to_json(named).alias("content"))
+    judged = naming.check_proposed_labels(proposals, old)
+    labels = judged.accepted_labels.join(old.withColumnRenamed("label", "old_label"), "topic_id")
+    return _rounded(judged.proposals.join(labels, "proposal_id", "left"))
+
+
+@query
+def renamed_topics(spark, sf):
+    """The topics under each of two proposals: all named, and one too few."""
+    old = _narrow(spark, sf).groupBy("topic_id").agg(F.min("topic").alias("label"))
+    outlier = spark.createDataFrame([(fixed.OUTLIER_TOPIC, fixed.OUTLIER_LABEL)], "topic_id int, label string")
+    old = materialise(old.unionByName(outlier), "labels")
+    pairs = F.struct(F.col("topic_id").cast("string"), F.concat(F.lit("New "), "label"))
+    named = old.where(F.col("topic_id") >= 0).agg(
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(pairs)))).alias("1"),
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("topic_id") != 2, pairs))))).alias("2"),
+    ).unpivot([], ["1", "2"], "proposal_id", "content")
+    renamed = [naming.rename_topics(old, named.where(F.col("proposal_id") == p)).withColumn("proposal", F.lit(p)) for p in ("1", "2")]
+    return _rounded(renamed[0].unionByName(renamed[1]))
 
 
 # --- Dashboard tables --------------------------------------------------------
@@ -584,8 +647,9 @@ def sentiment_mix(spark, sf):
 
 @query
 def drill_down(spark, sf):
-    scores = _scores(spark, sf)
-    return _rounded(views.drill_down(scores, scores.select("topic_id", F.array("topic").alias("keywords"))).drop("keywords"))
+    words = lexical.topic_keywords(lexical.lexical_features(_spaced(spark, sf), STOP_WORDS))
+    shown = views.drill_down(_scores(spark, sf), words.select("topic_id", "keywords"))
+    return _rounded(shown.withColumn("keywords", F.array_join("keywords", ", ")))
 
 
 @query

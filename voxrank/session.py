@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: dict[str, str] = {}  # of local sessions without the setting, by application
+
+
 def build_session(app_name: str = "voxrank", cores: int | str = "*", **settings: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -52,9 +55,10 @@ def scratch_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="voxrank-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="voxrank-")
+    return _local_folders[application]
 
 
 def store(df: DataFrame, name: str) -> str:

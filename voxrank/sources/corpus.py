@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Notations of the untidy upload's dates; those with a clock say ten to four in the afternoon, or the same in another zone.
+DATE_NOTATIONS = [
+    "yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "MMMM d, yyyy '3:50 PM'", "MMM d, yyyy '15:50'", "dd-MMM-yy", "yyyy/MM/dd '15:50:00'",
+    "yyyyMMdd'T155000'", "yyyy-MM-dd '3:50 PM'", "EEE MMM d '15:50:00' yyyy", "yyyy-MM-dd '10:50:00 EST'", "MMM d yyyy", "d'th' MMMM yyyy",
+    "yyyy.MM.dd", "EEE, dd MMM yyyy '15:50:00 GMT'", "dd-MMM-yyyy", "M/d/yyyy '3:50 pm'", "yyyy-MM-dd'T16:50:00.0+01:00'", "d MMM yyyy",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +57,18 @@ def untidy_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 3 == 0, (doc % 5 + 1).cast("string"))
     )
     day = F.date_add(F.lit("2024-01-01").cast("date"), (doc % 300).cast("int"))
-    written = (
-        F.when(doc % 19 == 0, F.lit("soon"))
-        .when(doc % 4 == 0, F.date_format(day, "yyyy-MM-dd"))
-        .when(doc % 4 == 1, F.date_format(day, "MM/dd/yyyy"))
-        .when(doc % 4 == 2, F.date_format(day, "yyyyMMdd"))
-    )
+    written = F.when(doc % 19 == 0, F.lit("soon"))
+    for place, notation in enumerate(DATE_NOTATIONS):
+        written = written.when(doc % (len(DATE_NOTATIONS) + 1) == place, F.date_format(day, notation))
     return table(spark, sf_dir, "documents").select(
         doc.alias("row_no"), comment.alias(" Comment "), stars.alias("STARS"),
         written.alias("Review_Date"), F.col("lang").alias("product"),
     )
+
+
+def letter_rates(spark: SparkSession, sf_dir: str, letters: str) -> DataFrame:
+    """(row_no, point): how often each letter stands in each whole text, as a vector."""
+    size = F.greatest(F.length("text"), F.lit(1))
+    rates = [(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))) / size for c in letters]
+    known = table(spark, sf_dir, "documents").where("text is not null")
+    return known.select(F.col("doc_id").alias("row_no"), F.array(*rates).alias("point"))

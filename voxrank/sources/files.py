@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxrank import fixed_values as fixed
 from voxrank.operators.skew import counted_broadcast
 from voxrank.session import materialise
+from voxrank.sources.records import read_records
 
 _MOST_BLOCKS = 1_000_000  # input blocks whose offsets are broadcast; 100 TB has about 800,000
 
@@ -18,7 +19,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     """All columns as text; quotes doubled inside quoted fields.
 
     ``multi_line`` allows line breaks inside quotes but makes each file one
-    task; turn it off, or keep files near the split size, for large uploads.
+    task; ``records.read_records`` reads such files in parallel.
     """
     return spark.read.csv(
         path, header=True, multiLine=multi_line, quote='"', escape='"',
@@ -51,12 +52,15 @@ def with_row_numbers(scan: DataFrame, name: str = "row_no") -> DataFrame:
     shuffled; a row without an offset fails the job. Must be applied directly
     to a scan.
     """
-    located = materialise(scan.select(
+    return _numbered(materialise(scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seen"),
-    ), "upload")
+    ), "upload"), name)
+
+
+def _numbered(located: DataFrame, name: str) -> DataFrame:
     blocks = located.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_seen").alias("_first"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
@@ -68,14 +72,23 @@ def with_row_numbers(scan: DataFrame, name: str = "row_no") -> DataFrame:
     )
 
 
+def _read_numbered(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    if multi_line:
+        return _numbered(materialise(read_records(spark, path), "upload"), "row_no")
+    return with_row_numbers(read_csv(spark, path, multi_line=False))
+
+
 def read_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A review upload: text columns, missing tokens as null, rows numbered."""
-    return missing_as_null(with_row_numbers(read_csv(spark, path, multi_line)))
+    """A review upload: text columns, missing tokens as null, rows numbered.
+
+    With ``multi_line`` (line breaks inside quotes) large files still are read by many tasks.
+    """
+    return missing_as_null(_read_numbered(spark, path, multi_line))
 
 
 def read_validation(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A hand-labelled sample: blanks stay blanks."""
-    return blanks_kept(with_row_numbers(read_csv(spark, path, multi_line)))
+    return blanks_kept(_read_numbered(spark, path, multi_line))
 
 
 def label_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
