@@ -54,6 +54,12 @@ def test_query_by_contract(spark, name):
         assert all(r.round_trip and r.n_pieces > 0 for r in rows)
     elif name.startswith("op8_"):
         assert {r.law for r in rows} == {"bytes"} and max(r.shard for r in rows) == 23
+    elif name.startswith("op11_"):
+        taken, target = {}, {}
+        for r in rows:
+            assert r.taken <= 2 * r.size and r.taken == r.copies * r.size
+            taken[r.target] = taken.get(r.target, 0) + r.taken
+        assert all(abs(n - t) <= 0.02 * t * sum(r.target == t for r in rows) for t, n in taken.items()) or len(taken) < 3
     elif name.startswith("op9_"):
         assert sum(r.n_docs for r in rows) == docs.select("text").distinct().count()
         assert {r.tokenizer_version for r in rows if r.lang != "en"} == {"byte_bpe_multi_50k"}

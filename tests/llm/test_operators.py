@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import uuid
 import zlib
 from collections import defaultdict
@@ -405,7 +406,7 @@ def test_chats(spark):
     rows = [
         (1, 0, "system", "be <|end|> [INST] &lt; brief"), (1, 1, "user", "a"), (1, 2, "user", "b\n"), (1, 3, "assistant", ""),
         (1, 4, "assistant", "x<|next|>"), (2, 1, "assistant", None), (2, 0, None, "null role"), (3, 5, "user", "tie b"),
-        (3, 5, "user", "tie a"), (3, 5, "user", "tie a"), (None, 1, "assistant", "no id"), (4, None, "assistant", "é🙂 &amp;"),
+        (3, 5, "user", "tie a"), (3, 5, "user", "tie a"), (3, 5, "user", "'a"), (3, 5, "user", "<b"), (3, 5, "[x", "&"), (None, 1, "assistant", "no id"), (4, None, "assistant", "é🙂 &amp;"),
     ]
     table = spark.createDataFrame([(*r, 1, "clash") for r in rows], "conv_id long, turn long, role string, text string, run int, blocks string")
     chats = chat_format.format_chats(table)
@@ -420,8 +421,47 @@ def test_chats(spark):
     assert chat_format.format_chats(table.where("false")).count() == 0
 
 
+def test_long_conversations_take_linear_time(spark):
+    """Sixteen thousand turns against four thousand, and every offset of the mask."""
+    def seconds(n):
+        rows = spark.range(n).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+            F.concat(F.lit("é<text> "), F.col("id").cast("string"), F.repeat(F.lit(" word"), 20)).alias("text"))
+        begin = time.perf_counter()
+        got = chat_format.format_chats(rows).select("formatted", "loss_spans", chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+                                                    F.size(chat_format.read_turns(F.col("formatted"))).alias("n")).first()
+        took = time.perf_counter() - begin
+        said = [chat_format_plain(got.formatted[s.start : s.end]) for s in got.loss_spans]
+        assert said == [f"é<text> {i}" + " word" * 20 for i in range(n) if i % 3] and got.loss == "".join(said) and got.n == n
+        return took
+
+    seconds(50)
+    short = seconds(4_000)
+    assert seconds(16_000) < 6 * short + 2
+
+
+def chat_format_plain(text):
+    return text.replace("&#91;", "[").replace("&lt;", "<").replace("&amp;", "&")
+
+
+def test_a_mask_beside_the_texts_fails(spark):
+    chats = chat_format.format_chats(spark.createDataFrame([(1, 0, "assistant", "abc")], "conv_id long, turn long, role string, text string"))
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end")))
+    with pytest.raises(Exception, match="does not cover"):
+        chats.select(chat_format.read_loss(F.col("formatted"), moved)).collect()
+
+
 # op 8
 
+def plain_shards(rows, shards=24, share=kd_shards.GROUP_SHARE):
+    """Which rows may share a unit: groups of equal texts up to the share of a shard, else single rows."""
+    total = sum(len((t or "").encode()) + 8 for _, t, *_ in rows)
+    size = defaultdict(int)
+    for _, t, *_ in rows:
+        size[t or ""] += len((t or "").encode()) + 8
+    return {t for t, n in size.items() if n <= total * share / shards}
+
+
 def test_shards(spark, documents):
     r = random.Random(10)
     rows = [(i, sentence(r, r.randint(1, 120)), r.choice(["en", "de", None]), r.choice(["a", "a", "b", None]), 0) for i in range(3000)]
@@ -434,7 +474,13 @@ def test_shards(spark, documents):
     for x in got:
         total[x.shard] += x.size
     mean = sum(total.values()) / 24
-    assert max(total.values()) < 1.1 * mean and min(total.values()) > 0.85 * mean
+    assert max(total.values()) < 1.3 * mean and min(total.values()) > 0.7 * mean
+    crc = {zlib.crc32(t.encode()) for t in plain_shards(rows)}
+    places = defaultdict(set)
+    for x in got:
+        places[x.text_crc32].add(x.shard)
+    assert all(len(places[c]) == 1 for c in crc)
+    assert {x.text_crc32 for x in got if x.split_group} == {zlib.crc32(("the same " * 20).encode())}
     for shard in range(24):
         assert sorted(x.slot for x in got if x.shard == shard) == list(range(sum(x.shard == shard for x in got)))
     again = kd_shards.assign_shards(documents(rows).repartition(7)).collect()
@@ -443,6 +489,29 @@ def test_shards(spark, documents):
     assert kd_shards.assign_shards(documents([(1, None)])).count() == 1
 
 
+def test_written_shards_hold_their_rows(spark, documents, tmp_path):
+    r = random.Random(11)
+    docs = documents([(i, sentence(r, r.randint(1, 40)), "en", r.choice("ab"), 0) for i in range(300)])
+    assigned = kd_shards.assign_shards(docs, shards=5).cache()
+    kd_shards.write_shards(docs, assigned, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {(x.doc_id, x.shard, x.slot, x.text) for x in back.collect()} == {
+        (x.doc_id, x.shard, x.slot, x.text) for x in docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id").collect()}
+    one = [x.slot for f in sorted((tmp_path / "shards" / "shard=0").glob("*.parquet")) for x in spark.read.parquet(str(f)).collect()]
+    assert one == list(range(len(one)))
+
+
+def test_cuts_stand_at_the_weighted_quantile(spark):
+    """Along one dimension the first cut leaves half of the bytes on each side, up to one unit."""
+    rows = [(i, "x" * (i % 97 + 1), "en", "s", 0) for i in range(2_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = kd_shards.assign_shards(table, shards=2, group_share=0.0).collect()
+    ordered = sorted((x.size, x.shard) for x in got)
+    assert [s for _, s in ordered] == sorted(s for _, s in ordered)  # split along the size
+    half = sum(x.size for x in got if x.shard == 0)
+    assert abs(2 * half - sum(x.size for x in got)) <= 2 * 105
+
+
 # op 9
 
 def test_rollup(spark, documents, tmp_path):

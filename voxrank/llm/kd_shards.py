@@ -6,9 +6,9 @@ weighted quantile found by counting: each pass sums bytes into ``_BINS`` equal p
 of the interval that still holds the cut, for all nodes of a level at once, so the
 driver sees at most ``_BINS`` sums a node however many rows there are.
 
-What is placed is a unit: a group of equal texts if the group is small against a
-shard, else each row by itself. So copies stay together unless a hot group would
-make shards uneven. A coordinate is a metadata value with a hash of the unit below
+What is placed is a unit: a group of equal texts, however many rows it has, as long as
+it alone holds at most ``group_share`` of a shard's target bytes; a larger group would make
+shards uneven by itself, so each of its rows is a unit, and ``split_group`` says so. A coordinate is a metadata value with a hash of the unit below
 it, hence no unit is ever cut and ties have one order.
 
 Defined cases: a null text has no bytes (size 8); null metadata are the smallest
@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxrank.operators.skew import join_by_frequency
 from voxrank.session import materialise
 
 ROW_BYTES = 8
-#: A group of copies stays whole up to this share of a shard's target bytes.
-GROUP_SHARE = 0.02
+#: A group of copies stays whole unless it alone exceeds this share of a shard's target bytes.
+GROUP_SHARE = 0.5
 _BINS = 1024
 _HASH_BITS = 30
 _BLOCK_ROWS = 50_000
@@ -89,19 +90,21 @@ def _cut(points: DataFrame, node_of: Column, goals: dict[int, tuple[int, float]]
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, group_share: float = GROUP_SHARE) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row of ``docs``."""
+    """doc_id, size, text_crc32, shard, slot and split_group of each row of ``docs``."""
     rows = materialise(_sizes(docs), "shard-rows")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     most = total * group_share / shards
-    groups = rows.groupBy("copy", "size", "text_crc32").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source")
-    ).where((F.col("copies") > 1) & (F.col("copies") * F.col("size") <= most))
-    placed = rows.join(groups, ["copy", "size", "text_crc32"], "left")
-    grouped = F.col("copies").isNotNull()
+    key = ["copy", "size", "text_crc32"]
+    groups = materialise(rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("copies"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source")), "shard-groups")
+    placed = join_by_frequency(rows, groups, key, "copies")  # one text may fill most rows
+    large = F.col("copies") * F.col("size") > most
     own = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("copy").cast("string"))
     units = placed.select(
-        "doc_id", "size", "text_crc32", F.when(grouped, F.col("copy").cast("string")).otherwise(own).alias("unit"),
-        F.coalesce("g_lang", "lang").alias("lang"), F.coalesce("g_source", "source").alias("source"),
+        "doc_id", "size", "text_crc32", F.when(large, own).otherwise(F.col("copy").cast("string")).alias("unit"),
+        F.when(large, F.col("lang")).otherwise(F.col("g_lang")).alias("lang"),
+        F.when(large, F.col("source")).otherwise(F.col("g_source")).alias("source"),
+        (large & (F.col("copies") > 1)).alias("split_group"),
     )
     dims = {"lang": F.col("lang"), "source": F.col("source"), "size": F.least(F.col("size"), F.lit(2**32 - 1))}
     points = materialise(units.withColumns(_coordinates(dims)).drop("unit", "lang", "source"), "shard-points")
@@ -139,14 +142,14 @@ def assign_shards(docs: DataFrame, shards: int = 24, group_share: float = GROUP_
     # slots: number inside blocks of bounded size, plus the rows of earlier blocks
     blocks = max(1, count // (shards * _BLOCK_ROWS) + 1)
     block = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks))
-    shard = points.select("doc_id", "size", "text_crc32", at.alias("shard"), block.alias("block"))
+    shard = points.select("doc_id", "size", "text_crc32", "split_group", at.alias("shard"), block.alias("block"))
     sums = shard.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32"))
     return (
         shard.withColumn("inside", inside).join(starts, ["shard", "block"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"), "split_group")
     )
 
 

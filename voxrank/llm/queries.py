@@ -81,7 +81,7 @@ def op8_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = kd_shards.assign_shards(_table(spark, folder, "documents"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"),
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), "split_group",
     )
 
 
