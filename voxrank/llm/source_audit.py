@@ -38,7 +38,7 @@ from voxrank.session import materialise
 
 LEAST_DOCUMENTS, SCALE, PRIOR, MOST_TERMS = 30, 1_000_000_000, 5, 50
 #: Terms of a shard, about; sources of a tile; bytes of a broadcast; counts held by a task.
-SHARD_TERMS, TILE, ROUND_BYTES, MOST_CELLS = 16_384, 256, 64 << 20, 4_000_000
+SHARD_TERMS, TILE, ROUND_BYTES, MOST_CELLS = 4_096, 256, 64 << 20, 4_000_000
 _LEVELS, _ROOM = 32, 2.0  # levels of a perfect hash, bits for each term that is left
 _U = np.uint64
 
