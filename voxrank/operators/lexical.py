@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,20 +64,18 @@ class LexicalFeatures:
 
     ``vectors`` has (row_no, features) for Spark ML; ``sparse`` shows the same
     file as (row_no, indices, values). Both carry topic_id once it is known.
-    ``terms`` is the vocabulary in index order. ``vectorise`` adds the ``features`` of a row
-    to any rows with the text, row by row.
+    ``terms`` is the vocabulary in index order.
     """
 
     vectors: DataFrame
     sparse: DataFrame
     terms: list[str]
     method: str
-    vectorise: Callable[[DataFrame], DataFrame]
 
     def with_topics(self, assigned: DataFrame) -> LexicalFeatures:
         """The same vectors stored beside their topic: one join for all later passes."""
         placed = assigned.select("row_no", "topic_id").join(self.vectors.select("row_no", "features"), "row_no")
-        return _stored(placed, self.terms, self.method, self.vectorise)
+        return _stored(placed, self.terms, self.method)
 
     def entries(self) -> DataFrame:
         """One row per stored weight: (row_no, term, weight)."""
@@ -88,7 +86,7 @@ class LexicalFeatures:
         return cells.join(F.broadcast(names), "index").select("row_no", "term", "weight")
 
 
-def _stored(vectors: DataFrame, terms: list[str], method: str, vectorise: Callable[[DataFrame], DataFrame]) -> LexicalFeatures:
+def _stored(vectors: DataFrame, terms: list[str], method: str) -> LexicalFeatures:
     path = store(vectors, "tfidf")
     reader = vectors.sparkSession.read
     plain = ", ".join(f"{n} {k}" for n, k in vectors.dtypes if n != "features")
@@ -96,7 +94,7 @@ def _stored(vectors: DataFrame, terms: list[str], method: str, vectorise: Callab
         *[n for n in vectors.columns if n != "features"],
         F.col("features.indices").alias("indices"), F.col("features.values").alias("values"),
     )
-    return LexicalFeatures(reader.schema(vectors.schema).parquet(path), sparse, terms, method, vectorise)
+    return LexicalFeatures(reader.schema(vectors.schema).parquet(path), sparse, terms, method)
 
 
 def _vectorise(docs: DataFrame, carried: list[str], tokens: Column, vocab: list, method: str) -> LexicalFeatures:
@@ -105,11 +103,8 @@ def _vectorise(docs: DataFrame, carried: list[str], tokens: Column, vocab: list,
     weigh = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in vocab]), inputCol="_counts", outputCol="_weighted")
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
 
-    def vectorise(rows: DataFrame) -> DataFrame:
-        counted = count.transform(rows.withColumn("_terms", tokens)).drop("_terms")
-        return unit.transform(weigh.transform(counted)).drop("_counts", "_weighted")
-
-    return _stored(vectorise(docs).select(*carried, "features"), terms, method, vectorise)
+    counted = count.transform(docs.select(*carried, tokens.alias("_terms"))).drop("_terms")
+    return _stored(unit.transform(weigh.transform(counted)).select(*carried, "features"), terms, method)
 
 
 def lexical_features(
@@ -123,12 +118,18 @@ def lexical_features(
     never shuffled, and it is stored once for every later pass. A topic_id
     column of ``docs`` is stored along.
     """
-    carried = ["row_no", *[c for c in docs.columns if c == "topic_id"]]
+    carried = ["row_no", *[c for c in docs.columns if c in ("topic_id", late.PLACE)]]
     stops = english_stop_words() if stop_words is None else stop_words
     words = word_terms(F.col(text), stops)
     vocab = vocabulary(docs.select(words.alias("terms")), max_words).orderBy("term").collect()
     if vocab:
         return _vectorise(docs, carried, words, vocab, "words")
+    return character_features(docs, max_characters, text)
+
+
+def character_features(docs: DataFrame, max_characters: int = fixed.CHARACTER_FEATURES, text: str = "topic_text") -> LexicalFeatures:
+    """TF-IDF over runs of one to three characters."""
+    carried = ["row_no", *[c for c in docs.columns if c in ("topic_id", late.PLACE)]]
     letters = tx.character_runs(F.col(text))
     vocab = vocabulary(docs.select(letters.alias("terms")), max_characters).orderBy("term").collect()
     return _vectorise(docs, carried, letters, vocab, "characters")
@@ -235,28 +236,61 @@ def embedding_representatives(
     return _nearest(scored, size)
 
 
-def lexical_cohesion(reviews: DataFrame, text: str = "review_text") -> DataFrame:
-    """Mean cosine of each row's TF-IDF to its topic mean, over all words.
+def _unit_terms(counted: DataFrame, carried: Sequence[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """(rows of ``carried``, term, unit) of all terms, (term, doc_freq), and the number of rows.
 
-    Rows have unit length, so the mean cosine to the topic mean equals the length of that mean:
-    no row is compared with anything. The vocabulary is unbounded here. Each row's counted
-    terms are stored once; frequent terms (a proven bound, ``skew``) meet their weight inside the row,
-    rare ones as (place, term) pairs. A row's length is a sum of partial sums, one a row and
-    task, and comes back to the stored row by place, so the terms of a row are never gathered.
+    ``counted`` is a stored table with places whose ``terms`` are (term, tf). Frequent terms (a
+    proven bound, ``skew``) meet their weight inside the row, rare ones as pairs. A row's length
+    is a sum of partial sums, one a row and task, and comes back to the stored row by place, so
+    the terms of a row are never gathered and the vocabulary may be of any size.
     """
-    counted = late.stored(
-        reviews.select("row_no", "topic_id", tx.term_counts(tx.words(F.col(text), shortest=1)).alias("terms")), "terms")
     documents = counted.agg(F.count("*").alias("n")).scalar()
-    pairs = counted.select(late.PLACE, "topic_id", F.inline("terms"))
+    pairs = counted.select(late.PLACE, F.inline("terms"))
     lookup = materialise(pairs.groupBy("term").agg(F.count("*").alias("doc_freq")), "doc_freq")
     weight = F.col("tf") * _idf(documents, F.col("doc_freq"))
     weighted = join_by_frequency(pairs, lookup, ["term"], "doc_freq")
     squares = weighted.groupBy(late.PLACE).agg(F.sqrt(F.sum(weight * weight)).alias("length"))
     measured = late.with_value(counted, materialise(squares, "lengths"), "length")
-    units = measured.select("topic_id", "length", F.inline("terms"))
-    sums = join_by_frequency(units, lookup, ["term"], "doc_freq").groupBy("topic_id", "term").agg(
-        F.sum(weight / F.col("length")).alias("weight")
-    )
+    units = measured.select(*carried, "length", F.inline("terms"))
+    joined = join_by_frequency(units, lookup, ["term"], "doc_freq")
+    return joined.select(*carried, "term", (weight / F.col("length")).alias("unit")), lookup, documents
+
+
+def dictionary(lookup: DataFrame) -> DataFrame:
+    """``lookup`` with ``index``: terms numbered in order without passing through one task.
+
+    Range partitions are sorted and numbered inside; one row a partition carries the offsets.
+    """
+    ordered = lookup.repartitionByRange("term").sortWithinPartitions("term").withColumn("_seen", F.monotonically_increasing_id())
+    ordered = materialise(ordered, "dictionary").withColumn("_part", F.shiftright("_seen", 33))
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_seen").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = ordered.join(F.broadcast(materialise(offsets, "offsets")), "_part")  # one row a partition
+    return numbered.withColumn("index", F.col("_offset") + F.col("_seen") - F.col("_first")).select(*lookup.columns, "index")
+
+
+def uncut_weights(docs: DataFrame, stop_words: Sequence[str] | None = None, text: str = "topic_text") -> tuple[DataFrame, DataFrame]:
+    """TF-IDF over the whole vocabulary: (row_no, term, weight) and the dictionary (term, doc_freq, index).
+
+    Nothing of the vocabulary reaches the driver.
+    """
+    stops = english_stop_words() if stop_words is None else stop_words
+    counted = late.stored(docs.select("row_no", tx.term_counts(word_terms(F.col(text), stops)).alias("terms")), "terms")
+    units, lookup, _ = _unit_terms(counted, ["row_no"])
+    return units.withColumnRenamed("unit", "weight"), dictionary(lookup)
+
+
+def lexical_cohesion(reviews: DataFrame, text: str = "review_text") -> DataFrame:
+    """Mean cosine of each row's TF-IDF to its topic mean, over all words.
+
+    Rows have unit length, so the mean cosine to the topic mean equals the length of that mean:
+    no row is compared with anything.
+    """
+    counted = late.stored(
+        reviews.select("row_no", "topic_id", tx.term_counts(tx.words(F.col(text), shortest=1)).alias("terms")), "terms")
+    units, _, documents = _unit_terms(counted, ["topic_id"])
+    sums = units.groupBy("topic_id", "term").agg(F.sum("unit").alias("weight"))
     lengths = sums.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     groups = reviews.groupBy("topic_id", "topic").agg(F.count("*").alias("n"), F.min("row_no").alias("first")).groupBy(
         "topic_id"

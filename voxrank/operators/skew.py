@@ -76,6 +76,7 @@ def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     # the fewer digests there are on the left, the less of the right side has to move
     few = counted_broadcast(materialise(wanted, "one-digests"))
     values = few.join(other.select("_digest", F.struct(F.lit(True).alias("_found"), *more).alias("_right")), "_digest").select(late.PLACE, "_right")
+    values = values.where(sound)  # before a place could get two values
     joined = late.with_value(mine, values, "_right").where(sound)
     if how == "inner":
         joined = joined.where("_right is not null")

@@ -101,27 +101,24 @@ def discover_topics(
     words = lexical.lexical_features(spaced, stop_words)
     embedded = _embedded(spaced, mode, load_embedding_model, warnings)
     narrow = None if embedded is None else embedded.select("row_no", F.col(EMBEDDING).alias("embedding"))
-    placed, method = None, "TF-IDF + KMeans (lexical fallback)"
+    assigned, method = None, "TF-IDF + KMeans (lexical fallback)"
     if embedded is not None and mode == "auto" and rows >= fixed.DENSITY_MINIMUM_ROWS:
         found = density.density_topics(narrow, smallest_topic or density.minimum_topic_size(rows))
         if found.where("topic_id <> -1").select("topic_id").distinct().limit(2).count() < 2:
             warnings.append("Density topics unavailable or degenerate; using embedding KMeans.")
         else:
             method = "Embeddings + density topics"
-            places = embedded.select("row_no", late.PLACE).join(found, "row_no").select(late.PLACE, "topic_id")
-            placed = late.with_value(embedded, places, "topic_id")
-    if placed is None:  # the topic follows from the row itself, so no row is moved to meet it
-        k = clusters or policy
-        if embedded is None:
-            placed = kmeans(words.vectors, k, restarts=restarts, iterations=iterations)(words.vectorise(spaced))
-        else:
-            in_row = embedded.withColumn("features", array_to_vector(EMBEDDING))
-            vectors = materialise(in_row.select("row_no", "features"), "vectors")
-            placed = kmeans(vectors, k, restarts=restarts, iterations=iterations)(in_row)
+            assigned = embedded.select("row_no", late.PLACE).join(found, "row_no")
+    if assigned is None:
+        vectors = words.vectors
+        if embedded is not None:
+            vectors = materialise(embedded.select("row_no", late.PLACE, array_to_vector(EMBEDDING).alias("features")), "vectors")
             method = "Embeddings + KMeans"
-        placed = placed.drop("features")
+        assigned = kmeans(vectors, clusters or policy, restarts=restarts, iterations=iterations)(vectors)
+    assigned = materialise(assigned.select("row_no", late.PLACE, "topic_id"), "assigned")
+    placed = late.with_value(spaced if embedded is None else embedded, assigned.drop("row_no"), "topic_id")
     placed = materialise(placed.drop(late.PLACE, EMBEDDING), "placed")
-    described = describe(placed.select("row_no", "topic_id"), words, narrow)
+    described = describe(assigned.drop(late.PLACE), words, narrow)
     labelled = placed.join(counted_broadcast(described.select("topic_id", F.col("label").alias("topic"))), "topic_id", "left")
     return Topics(labelled, described, method, warnings)
 

@@ -437,6 +437,30 @@ CHECKS = {
         SELECT {_shown('topic_id impact_score: available_weight: trend impact_rank')} FROM scores""",
     "score_recheck": "SELECT 0.0::DOUBLE AS max_difference",
     "vocabulary": f"WITH {LEXICAL} SELECT {_shown('term total doc_freq idf:')} FROM vocab",
+    "uncut_weights": f"""WITH {LEXICAL.replace(f"LIMIT {fixed.WORD_FEATURES}", "")}, numbers AS (
+        SELECT term, row_number() OVER (ORDER BY term) - 1 AS index FROM vocab)
+        SELECT row_no, term, round(weight, 6) AS weight, index FROM entries JOIN numbers USING (term)""",
+    "character_weights": f"""WITH flat AS (
+        SELECT item_id AS row_no, string_split(regexp_replace(lower(text), '{SPACE}{SPACE}+', ' ', 'g'), '') AS c FROM benchmark),
+        runs AS (SELECT row_no, unnest(c) AS term FROM flat UNION ALL
+          SELECT row_no, unnest([c[i] || c[i + 1] FOR i IN range(1, len(c))]) FROM flat UNION ALL
+          SELECT row_no, unnest([c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)]) FROM flat),
+        tf AS (SELECT row_no, term, count(*) AS tf FROM runs GROUP BY ALL),
+        vocab AS (SELECT term, sum(tf) AS total, ln((1 + (SELECT count(*) FROM flat)) / (1.0::DOUBLE + count(*))) + 1 AS idf
+          FROM tf GROUP BY term ORDER BY total DESC, term LIMIT {fixed.CHARACTER_FEATURES}),
+        weighed AS (SELECT row_no, term, tf * idf AS w FROM tf JOIN vocab USING (term))
+        SELECT row_no, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_no)), 6) AS weight FROM weighed""",
+    "brief_repeatability": "SELECT * FROM (VALUES ('repartitioned', true, 64::BIGINT), ('altered', false, 64::BIGINT)) t(run, identical, digits)",
+    "model_embeddings": f"""WITH {TOPIC_TEXT}, counts AS (
+        SELECT row_no, list_transform(['a', 'e', 'o', 'n'], lambda c: (length(topic_text) - length(replace(topic_text, c, '')))::DOUBLE) AS v FROM spaced)
+        SELECT row_no, unnest(range(4))::BIGINT AS place, round(unnest(v) / greatest(sqrt(list_dot_product(v, v)), 1e-300), 6) AS value FROM counts""",
+    "upload_columns": "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{'' if ok else 'Add a review_text column (or review, text, comment, content).'}' AS refusal, count(*) AS rows FROM {n}"
+        for n, ok in (("documents", 1), ("labels", 0), ("benchmark", 1), ("conversations", 1), ("pages", 0), ("embeddings", 0))) + ")",
+    "json_labels": f"""WITH {CLEAN}, areas(place, display, area) AS (VALUES {", ".join(
+          f"({i}, {_quoted(d)}, {_quoted(area)})" for i, (d, area) in enumerate(fixed.DISPLAY_TO_AREA.items()))})
+        SELECT DISTINCT topic, display, area FROM clean JOIN areas ON place = topic_id % {len(fixed.DISPLAY_TO_AREA)}""",
+    "written_file_hash": "SELECT sha256(string_agg(text, chr(10) ORDER BY item_id) || chr(10)) AS sha256 FROM benchmark",
     "character_vocabulary": f"""WITH {TOPIC_TEXT}, flat AS (
         SELECT row_no, string_split(regexp_replace(lower(topic_text), '{SPACE}{SPACE}+', ' ', 'g'), '') AS c FROM spaced),
         runs AS (SELECT row_no, unnest(c) AS term FROM flat UNION ALL

@@ -268,6 +268,20 @@ def tfidf_weights(spark, sf):
     return _rounded(lexical.lexical_features(_spaced(spark, sf), STOP_WORDS).entries())
 
 
+@query
+def uncut_weights(spark, sf):
+    """Weights over the whole vocabulary, with each term's number in the dictionary."""
+    entries, terms = lexical.uncut_weights(_spaced(spark, sf), STOP_WORDS)
+    return _rounded(entries.join(terms.select("term", "index"), "term"))
+
+
+@query
+def character_weights(spark, sf):
+    """Weights of character runs over the benchmark's whole texts."""
+    items = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("row_no"), F.col("text").alias("topic_text"))
+    return _rounded(lexical.character_features(items).entries())
+
+
 @query
 def topic_keywords(spark, sf):
     found = lexical.topic_keywords(lexical.lexical_features(_spaced(spark, sf), STOP_WORDS))
@@ -289,6 +303,18 @@ def _vectors(spark, sf) -> DataFrame:
     )
 
 
+def _counting_embeddings():
+    """A stand-in for a caller's embedding model: counts of four letters."""
+    return lambda batch: np.array([[t.count(c) for c in "aeon"] for t in batch], dtype="float32")
+
+
+@query
+def model_embeddings(spark, sf):
+    """Unit vectors of a caller's model for every document."""
+    found = topics.embed(_spaced(spark, sf).select("row_no", "topic_text"), _counting_embeddings)
+    return _rounded(found.select("row_no", F.posexplode("embedding").alias("place", "value")))
+
+
 @query
 def embedding_representatives(spark, sf):
     return _rounded(lexical.embedding_representatives(_vectors(spark, sf)))
@@ -476,13 +502,20 @@ def brief_summary(spark, sf):
 
 @query
 def brief_repeatability(spark, sf):
+    """Whether the brief's fingerprint is the same over other partitions, and after one score has changed."""
     _, scores, ids = _evidence(spark, sf)
 
     def once(s, i):
-        return brief.brief_fingerprint(brief.brief_summary(s), brief.deterministic_insights(s, i))
+        return brief.brief_fingerprint(brief.brief_summary(s), brief.deterministic_insights(s, i)).select("brief_sha256").scalar()
 
-    again = once(scores.repartition(5), ids.repartition(3)).select("brief_sha256").scalar()
-    return once(scores, ids).select("brief_sha256", (F.col("brief_sha256") == again).alias("identical"))
+    first = F.col("impact_rank") == 1
+    altered = materialise(scores.withColumn("impact_score", F.when(first, F.col("impact_score") - 1).otherwise(F.col("impact_score"))), "altered")
+    one = spark.range(1).select(once(scores, ids).alias("whole"), once(scores.repartition(5), ids.repartition(3)).alias("repartitioned"),
+                                once(altered, ids).alias("altered"))
+    one = materialise(one, "fingerprints")
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(run).alias("run"), (F.col(run) == F.col("whole")).alias("identical"), F.length(run).cast("long").alias("digits"))
+        for run in ("repartitioned", "altered")])))
 
 
 @query
@@ -756,6 +789,45 @@ def export_safe_reviews(spark, sf):
     return exports.export_safe(marked)
 
 
+@query
+def upload_columns(spark, sf):
+    """Which tables may be uploaded as they are: one column must hold the review text."""
+    def answer(name):
+        try:
+            clean.standardise_columns(corpus.table(spark, sf, name))
+        except ValueError as error:
+            return str(error)
+        return ""
+
+    names = ["documents", "labels", "benchmark", "conversations", "pages", "embeddings"]
+    counts = [corpus.table(spark, sf, n).agg(F.count("*").alias("rows")).select(
+        F.lit(n).alias("table_name"), F.lit(answer(n)).alias("refusal"), "rows") for n in names]
+    whole = counts[0]
+    for more in counts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+@query
+def json_labels(spark, sf):
+    """Topic names written as one JSON map, read back and shown beside their areas."""
+    folder = store(spark.range(1), "json-parent") + "/labels"
+    names = _narrow(spark, sf).select("topic", "topic_id").distinct()
+    labels = F.array(*[F.lit(d) for d in fixed.DISPLAY_TO_AREA])
+    pairs = F.struct(F.col("topic"), F.element_at(labels, F.col("topic_id") % len(fixed.DISPLAY_TO_AREA) + 1))
+    names.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(pairs)))).alias("value")).coalesce(1).write.text(folder)
+    shown = naming.with_display(names.select("topic"), files.read_labels(spark, folder), "topic", "display")
+    return naming.with_display(shown, files.label_table(spark, fixed.DISPLAY_TO_AREA), "display", "area")
+
+
+@query
+def written_file_hash(spark, sf):
+    """SHA-256 of a file with the benchmark's texts in order, by file."""
+    folder = store(spark.range(1), "hash-parent") + "/texts"
+    corpus.table(spark, sf, "benchmark").orderBy("item_id").coalesce(1).select("text").write.text(folder)
+    return exports.file_fingerprint(spark, folder + "/part-*").select("sha256")
+
+
 @query
 def csv_round_trip(spark, sf):
     """Reviews written as spreadsheet-safe CSV and read back as an upload."""
