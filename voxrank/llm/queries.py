@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from voxrank.llm import (
     chat_format, chosen_path, hard_negatives, importance_sampling, kd_shards, latent_decontam, line_suffixes,
     piece_lattice, quality_rules, source_audit, source_mixing, string_kernel, token_rollup,
@@ -124,11 +123,17 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.Miner(hard_negatives.whole_vectors(moved)).mine()
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # a file of the repository's top, beside the package
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_string_kernel": op1_string_kernel, "op2_importance_sampling": op2_importance_sampling, "op3_latent_decontam": op3_latent_decontam,
     "op4_piece_lattice": op4_piece_lattice, "op5_quality_rules": op5_quality_rules, "op6_chosen_path": op6_chosen_path,
     "op7_chat_format": op7_chat_format, "op8_kd_shards": op8_kd_shards,
     "op9_token_rollup": op9_token_rollup, "op10_line_suffixes": op10_line_suffixes,
     "op11_entropy_mix": op11_entropy_mix, "op12_source_audit": op12_source_audit, "op13_hard_negatives": op13_hard_negatives,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
