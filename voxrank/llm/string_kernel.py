@@ -12,11 +12,13 @@ table, and scoring a unit is a sum of table entries. A text scores as its most t
 unit (the multiple-instance rule: one insult makes a sentence toxic, and a clean
 sentence has none), through a logistic curve fitted to labelled texts.
 
-Training uses at most ``sample`` labelled texts, taken by a hash of doc_id; their
-sentences carry the text's label. Witness units of the toxic sentences are those
-whose toxic share is significant; units of clean sentences are negative. Further rounds
-add the clean units that the last model scores highest and the toxic units that it
-scores lowest, as landmarks too, and as witnesses the units of toxic sentences alone that it scores as toxic.
+Training uses at most ``sample`` labelled texts, taken by a hash of doc_id; labels belong to texts.
+Witness units are those whose toxic share is significant, and those that are the strongest
+suspect of at least ``WITNESSED`` toxic texts (the multiple-instance rule again: a toxic text has a
+witness), so a language of few labelled texts gets its witnesses however many words the others
+have. Units of clean texts are negative. Further rounds add the clean units that the last model scores
+highest and the toxic units that it scores lowest, as landmarks too, and as witnesses the units of
+toxic texts alone that it scores as toxic.
 
 Defined cases: a null or empty text, or one without letters, scores as the emptiest
 unit does (near 0); rows without a doc_id take no part in training; a doc_id with
@@ -42,6 +44,8 @@ from voxrank.session import materialise
 
 #: Bound on the labelled texts used in training, on the units taken at a time, on the first landmarks; rounds.
 SAMPLE, MOST_UNITS, LANDMARKS, ROUNDS = 20_000, 6_000, 256, 4
+#: Toxic texts whose strongest suspect a unit must be to count as a witness without being significant.
+WITNESSED = 3
 DECAY, SPAN, WINDOW = 0.6, 7, 24
 THRESHOLD = 0.7
 _LETTERS = 64
@@ -106,6 +110,8 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> Units:
     letters = symbols[symbols > 0]
     first, size = before[starts], before[ends] - before[starts]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    some = size > 0  # words without letters are no gaps: "i - d - i - o - t"
+    first, size, row = first[some], size[some], row[some]
     # runs of at least three single letters, as one unit more
     single = size == 1
     same = single[1:] & single[:-1] & (row[1:] == row[:-1]) if len(row) else np.zeros(0, bool)
@@ -123,8 +129,6 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> Units:
         first = np.concatenate([first[keep], *[p for p, _ in parts]])
         row = np.concatenate([row[keep], *[np.full(len(p), r) for p, r in parts]])
         size = np.concatenate([size[keep], np.full(sum(len(p) for p, _ in parts), WINDOW)])
-    some = size > 0
-    first, size, row = first[some], size[some], row[some]
     if not len(first):
         return Units(letters, first, size, np.zeros(0, np.int64), row)
     order = np.argsort(first, kind="stable")  # hashing wants rising places
@@ -300,8 +304,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         good > 0, good * F.log(good / (n * (1 - share)))).otherwise(0.0)
     scored = totals.withColumn("ratio", ratio)
     need = math.log(max(2, totals.count())) + 2
-    suspect = (bad > n * max(0.6, share)) & (F.col("ratio") > need)
-    positive = scored.where(suspect).orderBy(F.desc("ratio"), "unit").limit(MOST_UNITS).collect()
+    doubtful = bad > n * max(0.6, share)
+    suspect = doubtful & (F.col("ratio") > need)
+    strongest = scored.where(doubtful & (n > 1)).orderBy(F.desc("ratio"), "unit").limit(MOST_UNITS).collect()
+    place = {bytes(r.unit): i for i, r in enumerate(strongest)}  # by falling ratio
+    sent_place = spark.sparkContext.broadcast(place)
+
+    def witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, offsets, marks in picked(batches):
+            units = units_of(data, offsets)
+            if not len(units.unit):
+                continue
+            none = len(sent_place.value)
+            spelled = (units.letters[a : a + s].tobytes() for a, s in zip(units.starts, units.sizes, strict=True))
+            rank = np.array([sent_place.value.get(u, none) for u in spelled])
+            best = np.full(len(marks), none)
+            np.minimum.at(best, units.row, rank[units.unit])
+            found = best[marks & (best < none)]
+            yield pa.RecordBatch.from_pydict({"place": pa.array(found, pa.int64())})
+
+    chosen_by = narrow.mapInArrow(witnesses, "place long").groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_UNITS
+    witnessed = {r.place for r in chosen_by if r.n >= WITNESSED}
+    positive = [r for i, r in enumerate(strongest) if r.ratio > need or (i in witnessed and r.ratio > need / 2)]
     if not positive:
         positive = scored.where(bad > n * share).orderBy(F.desc("ratio"), "unit").limit(20).collect()
     clean = scored.where((bad <= n * share) & ~suspect)
