@@ -129,6 +129,15 @@ def test_proposed_labels(spark):
         assert {r.topic_id: r.label for r in renamed.collect()} == names
 
 
+def test_every_topic_stands_under_every_proposal(spark):
+    old = spark.createDataFrame([(-1, "Unassigned / mixed"), (0, "A"), (1, "B")], "topic_id int, label string")
+    proposals = spark.createDataFrame([(1, '{"0":"Battery","1":"Screen"}'), (2, "not json")], "proposal_id int, content string")
+    rows = naming.labels_under(naming.check_proposed_labels(proposals, old), old).collect()
+    assert sorted((r.proposal_id, r.accepted, r.topic_id, r.label, r.old_label) for r in rows) == [
+        (1, True, -1, "Unassigned / mixed", "Unassigned / mixed"), (1, True, 0, "Battery", "A"), (1, True, 1, "Screen", "B"),
+        (2, False, -1, "Unassigned / mixed", "Unassigned / mixed"), (2, False, 0, "A", "A"), (2, False, 1, "B", "B")]
+
+
 @pytest.mark.parametrize("texts", [["ok"], ["a", "the"], ["great", "bad", "fine"]])
 def test_tiny_uploads(spark, texts):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_no long, text string")

@@ -91,6 +91,17 @@ def check_proposed_labels(proposals: DataFrame, topics: DataFrame) -> CheckedLab
     return CheckedLabels(judged, labels)
 
 
+def labels_under(checked: CheckedLabels, topics: DataFrame) -> DataFrame:
+    """(proposal_id, accepted, topic_id, label, old_label): every one of ``topics`` (topic_id, label) under every proposal.
+
+    A rejected proposal leaves the old labels. The topics are a written table of one row each.
+    """
+    old = counted_broadcast(topics.select("topic_id", F.col("label").alias("old_label")))
+    new = checked.accepted_labels.withColumnRenamed("label", "_new")
+    return checked.proposals.crossJoin(old).join(new, ["proposal_id", "topic_id"], "left").select(
+        "proposal_id", "accepted", "topic_id", F.coalesce("_new", "old_label").alias("label"), "old_label")
+
+
 def rename_topics(topics: DataFrame, proposal: DataFrame) -> DataFrame:
     """``topics`` (topic_id, label) under one proposal if it is accepted, else as they are."""
     labels = check_proposed_labels(proposal, topics).accepted_labels.select("topic_id", F.col("label").alias("_new"))
