@@ -138,3 +138,27 @@ def test_decimals_match_python(spark):
         assert column(spark, values, numbers.fixed_decimals(F.col("v"), digits), "double") == [f"{v:.{digits}f}" for v in values]
         assert column(spark, values, numbers.fixed_decimals(F.col("v"), digits, True), "double") == [f"{v:+.{digits}f}" for v in values]
         assert column(spark, values, numbers.round_exact(F.col("v"), digits), "double") == [round(v, digits) for v in values]
+
+
+def test_counted_vocabularies_are_the_plain_ones(spark, monkeypatch):
+    from voxrank.operators import lexical
+    from voxrank.session import materialise
+
+    texts = ["Ab ab cd, ab", "cd ef ab cd", "x  y\\n\\tZz ÄÖ\U00020001b", None, "", "ef ef ef ef", "Kelvin K İi", "ab cd ab cd"] * 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_no long, text string").repartition(3)
+    monkeypatch.setattr(lexical, "_AT_ONCE", 7)  # many small stretches
+
+    def seen(df):
+        return sorted(map(tuple, df.select("term", "total", "doc_freq", F.round("idf", 9)).collect()))
+
+    words = materialise(rows.select(lexical.word_terms(F.col("text"), ["x"], pairs=False).alias("words")), "words")
+    plain = words.select(tx.with_word_pairs(F.col("words")).alias("terms"))
+    for most in (1, 2, 3, 5, 8, 1000):
+        expected = seen(lexical.vocabulary(plain, most))
+        assert seen(lexical.word_vocabulary(words, most)) == expected
+        monkeypatch.setattr(lexical, "_CANDIDATES", 0)  # nothing may be broadcast
+        assert seen(lexical.word_vocabulary(words, most)) == expected
+        monkeypatch.undo()
+    for most in (3, 1000):
+        expected = seen(lexical.vocabulary(rows.select(tx.character_runs(F.col("text")).alias("terms")), most))
+        assert seen(lexical.character_vocabulary(rows.select(tx.flat_text(F.col("text")).alias("text")), most)) == expected
