@@ -162,3 +162,12 @@ def test_counted_vocabularies_are_the_plain_ones(spark, monkeypatch):
     for most in (3, 1000):
         expected = seen(lexical.vocabulary(rows.select(tx.character_runs(F.col("text")).alias("terms")), most))
         assert seen(lexical.character_vocabulary(rows.select(tx.flat_text(F.col("text")).alias("text")), most)) == expected
+
+
+def test_texts_are_normalised_in_one_pass_of_python(spark):
+    """Tables of thousands of characters, looked up in the JVM for each text, took several times as long."""
+    rows = spark.createDataFrame([("Ｆｉｎｅ  Straße",), (None,), ("é ﬁ",)], "v string")
+    found = tx.with_normalised(rows, "v", "t", "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "translate(" not in plan
+    assert [(r.t, r.k) for r in found.collect()] == [("Fine Straße", "fine strasse"), ("", ""), ("é fi", "é fi")]

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxrank.functions import text as tx
 from voxrank.operators import clean, density, lexical, naming, sentiment, skew, topics
 from voxrank.plans import analyze
 
@@ -266,3 +267,19 @@ def test_cluster_policy(spark):
     counted = spark.createDataFrame(rows, "n long, texts long").select("n", topics.cluster_count(F.col("n"), F.col("texts")).alias("k"))
     assert [r.k for r in counted.collect()] == [3, 5, 8, 8, 12, 12, 15, 2, 1]
     assert [density.minimum_topic_size(n) for n in (10, 100, 1000)] == [3, 5, 15]
+
+
+def test_word_vectors_are_formed_without_putting_pairs_together(spark):
+    """Equal to vectors of the joined terms; terms left out by the cut are no pairs either, and empty rows stay."""
+    rows = [(0, ["a", "b", "a", "b", "c"]), (1, []), (2, ["c", "a", "x", "b"]), (3, ["b", "a", "b"]), (4, ["x"])]
+    listed = spark.createDataFrame(rows, "row_no long, words array<string>").repartition(2)
+    for most in (1, 4, 100):
+        vocab = lexical.word_vocabulary(listed, most).orderBy("term").collect()
+        plain = lexical._vectorise(listed, ["row_no"], tx.with_word_pairs(F.col("words")), vocab, "words")
+        found = lexical._vectorise_words(listed, ["row_no"], vocab)
+        expected = {r.row_no: r.features for r in plain.vectors.collect()}
+        got = {r.row_no: r.features for r in found.vectors.collect()}
+        assert set(got) == set(range(5)) and found.terms == plain.terms
+        for i, vector in expected.items():
+            assert got[i].size == vector.size and got[i].indices.tolist() == vector.indices.tolist()
+            assert got[i].values.tolist() == pytest.approx(vector.values.tolist())
