@@ -84,6 +84,20 @@ def test_words_and_pairs(spark):
         assert terms == tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]
 
 
+def test_words_found_in_bytes(spark):
+    """Joined words are those of the regex, for every character and in rows that touch."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(chr(c) + " " * (i % 5 == 0) for i, c in enumerate(points[at : at + 1024])) for at in range(0, len(points), 1024)]
+    texts += [None, "", "the", "ab", "cd ef", "é", "éa the 4k-screen isn't x_y", "漢字 仮 ΟΔΟΣ the", " ab", "ab ", "\U00020000b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string").coalesce(1)
+    for shortest in (1, 2):
+        found = tx.with_words(rows, "v", "w", ["the", "ef"], shortest)
+        assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+        got = dict(found.select("i", tx.split_words(F.col("w"))).collect())
+        assert got == dict(rows.select("i", tx.without(tx.words(F.col("v"), shortest), ["the", "ef"])).collect())
+    assert got[len(points) // 1024 + 2] is not None and got[texts.index(None)] is None
+
+
 def test_character_runs(spark):
     texts = ["Ab  c", "é", ""]
     for value, runs in zip(texts, column(spark, texts, tx.character_runs(F.col("v")))):

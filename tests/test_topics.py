@@ -62,6 +62,34 @@ def test_weights_keywords_and_representatives(spark):
         assert row.similarity == pytest.approx(sum(v * centre[t] for t, v in expected[row.row_no].items()) / length)
 
 
+@pytest.mark.parametrize("most", [0, 2, 5, 100])
+def test_cohesion_with_few_words_as_numbers(spark, most):
+    """Words beyond the numbered ones are pairs; the result is the same, and no list of terms is sorted in the JVM."""
+    texts = [*TEXTS, "", "ab ab 漢字", "unique"]
+    rows = spaced(spark, texts).withColumn("topic_id", F.when(F.col("row_no") != 9, F.col("topic_id")))
+    weights = tfidf(texts, lambda t: re.findall(r"(?u)\b\w+\b", t.lower()) or ["\0"])  # no words, no length: one that is not counted
+    sums, sizes = defaultdict(Counter), Counter()
+    for i, row in enumerate(weights):
+        topic = None if i == 9 else i % 3
+        sizes[topic] += 1
+        for term, weight in row.items():
+            if term != "\0":
+                sums[topic][term] += weight
+    got = {r.topic_id: r for r in lexical.lexical_cohesion(rows, most=most).collect()}
+    assert set(got) == set(sizes)
+    for topic in (0, 1, 2):
+        length = math.sqrt(sum(v * v for v in sums[topic].values()))
+        assert got[topic].lexical_cohesion == pytest.approx(length / sizes[topic])
+
+
+def test_joined_words_and_lists_count_alike(spark):
+    docs = spark.createDataFrame([(["aa", "bb", "aa"],), ([],), (None,), (["bb"],), (["cc", "aa", "bb"],)], "words array<string>").coalesce(1)
+    joined = docs.select(F.array_join("words", " ").alias("words"))
+    for size in (2, 100):
+        assert sorted(lexical.word_vocabulary(joined, size).collect()) == sorted(lexical.word_vocabulary(docs, size).collect())
+    assert sorted(lexical.word_counts(joined).collect()) == sorted(lexical.word_counts(docs).collect())
+
+
 def test_vocabulary_limit_prefers_frequent_then_alphabetical(spark):
     docs = spark.createDataFrame([(["b", "a", "b"],), (["c", "a"],), ([],)], "terms array<string>")
     rows = lexical.vocabulary(docs, 2).collect()
