@@ -90,6 +90,24 @@ def test_joined_words_and_lists_count_alike(spark):
     assert sorted(lexical.word_counts(joined).collect()) == sorted(lexical.word_counts(docs).collect())
 
 
+def test_uncut_weights_meet_their_number_in_one_pass(spark):
+    """Weights carry their term's number; row numbers may repeat or be null, texts may be null or without words."""
+    texts = [*TEXTS, TEXTS[1], None, "", "aa", "aab a_a", "漢字 aa 漢字"]
+    numbers = [*range(len(TEXTS)), 1, 1, 99, None, None, 7]
+    rows = spark.createDataFrame(list(zip(numbers, texts)), "row_no long, topic_text string").repartition(5)
+    entries, terms = lexical.uncut_weights(rows, STOPS)
+    counts = Counter(t for text in texts for t in set(words_and_pairs(text or "")))
+    known = sorted(counts, key=str.encode)
+    assert sorted((r["index"], r.term, r.doc_freq) for r in terms.collect()) == [(i, t, counts[t]) for i, t in enumerate(known)]
+    n, wanted = len(texts), Counter()
+    for number, text in zip(numbers, texts):
+        tf = Counter(words_and_pairs(text or ""))
+        weights = {t: c * (math.log((1 + n) / (1 + counts[t])) + 1) for t, c in tf.items()}
+        length = math.sqrt(sum(w * w for w in weights.values()))
+        wanted.update((str(number), t, known.index(t), round(w / length, 9)) for t, w in weights.items())
+    assert Counter((str(r.row_no), r.term, r["index"], round(r.weight, 9)) for r in entries.collect()) == wanted
+
+
 def test_vocabulary_limit_prefers_frequent_then_alphabetical(spark):
     docs = spark.createDataFrame([(["b", "a", "b"],), (["c", "a"],), ([],)], "terms array<string>")
     rows = lexical.vocabulary(docs, 2).collect()
