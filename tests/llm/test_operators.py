@@ -236,6 +236,17 @@ def test_encoding_round_trip_and_text_n_best(spark, documents, pieces):
     assert piece_lattice.encode(documents([])).count() == 0
 
 
+def test_encoding_and_decoding_in_one_worker(spark, documents):
+    """``round_trip`` returns what ``decode`` of ``encode`` does, in one step of Python."""
+    docs = documents(awkward(), clash=True).withColumn("id", F.monotonically_increasing_id())
+    whole = piece_lattice.round_trip(docs, keep=("id",))
+    apart = piece_lattice.decode(piece_lattice.encode(docs, keep=("id",)), keep=("id", "ids", "score", "nbest"))
+    assert whole.schema == apart.schema and sorted(map(str, whole.collect())) == sorted(map(str, apart.collect()))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert piece_lattice.round_trip(documents([])).count() == 0
+
+
 # op 5
 
 def plain_measures(text):

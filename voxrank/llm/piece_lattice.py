@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -280,10 +280,9 @@ def _least(cost: np.ndarray, some: int) -> np.ndarray:
     return np.concatenate([below, ties[: some - len(below)]])
 
 
-def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with ids, score and nbest (the 2nd to N-th best, as edits of ids: replace ``drop`` ids at ``at``)."""
-    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
-    schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(ENCODED).fields)
+def _encoder(pieces, n_best: int, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of the ``keep`` columns and the text to batches of the ``keep`` columns, ids, score and nbest."""
+    names = [*keep, "ids", "score", "nbest"]
     kinds = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct(
         [("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
 
@@ -310,17 +309,20 @@ def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str = MODEL_PATH,
                     for loss, edits in _alternatives(chunk, low, high, table, n_best, listed)])
             ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(chunk.ids.astype(np.int32)), mask=pa.array(null))
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in keep), ids, pa.array(scores, mask=null), pa.array(others, kinds)],
-                names=schema.names)
+                [*(rows.column(c) for c in keep), ids, pa.array(scores, mask=null), pa.array(others, kinds)], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return run
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with the text that ``ids`` stand for."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(Pieces(model_path))
-    schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
+def encode(docs: DataFrame, n_best: int = N_BEST, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with ids, score and nbest (the 2nd to N-th best, as edits of ids: replace ``drop`` ids at ``at``)."""
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
+    schema = T.StructType([docs.schema[c] for c in keep] + T._parse_datatype_string(ENCODED).fields)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_encoder(pieces, n_best, keep), schema)
 
+
+def _decoder(pieces, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the ``keep`` columns and ids to batches of the ``keep`` columns and the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
         lengths = np.array([len(b) for b in table.bytes])
@@ -344,9 +346,29 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ..
                 text = pa.LargeStringArray.from_buffers(len(rows), *buffers).cast(pa.string())
                 if null.any():
                     text = pa.array([None if n else t for n, t in zip(null, text.to_pylist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), text], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), text], names=[*keep, "text"])
+
+    return run
+
 
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
+def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with the text that ``ids`` stand for."""
+    pieces = encoded.sparkSession.sparkContext.broadcast(Pieces(model_path))
+    schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("text", T.StringType())])
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(_decoder(pieces, keep), schema)
+
+
+def round_trip(docs: DataFrame, n_best: int = N_BEST, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``decode`` of ``encode``: the ``keep`` columns with ids, score, nbest and the text that the ids stand for.
+
+    Both run in one Python worker a task and share one vocabulary: as two steps they hold two workers, and the ids and
+    edits cross between them through the JVM.
+    """
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(model_path))
+    fields = T._parse_datatype_string(f"{ENCODED}, text string").fields
+    schema = T.StructType([docs.schema[c] for c in keep] + fields)
+    encoding, decoding = _encoder(pieces, n_best, keep), _decoder(pieces, (*keep, "ids", "score", "nbest"))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lambda batches: decoding(encoding(batches)), schema)
 
 
 def apply_edits(ids: list[int], edits: list[dict]) -> list[int]:
