@@ -55,6 +55,7 @@ def test_every_passage_of_every_text_takes_part_in_the_fit(spark, monkeypatch):
 
     monkeypatch.setattr(ld, "latent_space", noted)
     found = ld.scan(docs, bench, sample=20).where("contaminated").count()
+    assert ld.keep_clean(docs, bench).count() == docs.count() - 1  # the pipeline's stage
     pieces = [set(w[a : a + ld.HALF]) for t in [*texts, texts[-1]] if t for w in [t.split(" ")] for a in range(0, len(w), ld.HALF)]
-    assert found == 1 and seen[0][0] == len(pieces) > 800
+    assert found == 1 and seen[0] == seen[1] and seen[0][0] == len(pieces) > 800
     assert abs(seen[0][1] - sum(map(len, pieces))) <= 0.05 * seen[0][1]  # features of different words may agree
